@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontaminate, language_id, license_scan, line_dedup, packing, secret_scan, topk_search
+from tidemill.llm import decontaminate, language_id, license_scan, line_dedup, packing, quality_crf, secret_scan, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -99,3 +99,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = language_id.held_out(5, 0)
     model = language_id.fit(docs.filter(~held))
     return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.held_out(3, 1)
+    model = quality_crf.fit(docs, table(spark, sf_dir, "labels").filter(~held))
+    out = quality_crf.score(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
