@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontaminate, language_id, license_scan, line_dedup, packing, quality_crf, secret_scan, topk_search
+from tidemill.llm import decontaminate, language_id, license_scan, line_dedup, packing, quality_crf, secret_scan, substring_dedup, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -108,3 +108,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_crf.fit(docs, table(spark, sf_dir, "labels").filter(~held))
     out = quality_crf.score(docs, model)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.removals(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
