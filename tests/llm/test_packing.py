@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -50,8 +51,12 @@ ODD = [None, "", " ", "a", "don't  STOP now", "x" * 9000, "é ́a\x1cb", "<|en
 
 def test_ids_are_the_tokenizers():
     t = Tokenizer.from_file(PATH)
-    for text, ids in zip(ODD, P.Encoder(PATH, 1).encode([x or "" for x in ODD]), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 1]
+    e = P.Encoder(PATH, 1)
+    for given in (ODD, ODD[5:], ["", ""], [], ODD[::-1]):
+        ids, at = e.encode(pa.array(given, pa.string()))
+        assert len(at) == len(given) + 1 and at[-1] == len(ids)
+        for k, text in enumerate(given):
+            assert ids[at[k] : at[k + 1]].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_operator(spark, make_docs):

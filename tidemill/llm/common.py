@@ -87,16 +87,23 @@ _INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
 
 
 def word_hashes(offsets: np.ndarray, raw: np.ndarray, is_word: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each text, their first bytes, and each text's first word."""
+    hashes, begin, _, first = word_spans(offsets, raw, is_word, fold)
+    return hashes, begin, first
+
+
+def word_spans(offsets: np.ndarray, raw: np.ndarray, is_word: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of each text, without a loop over them.
 
     ``is_word`` and ``fold`` are tables over the 256 byte values: what belongs to
     a word, and what a byte is taken for.  Returns the hashes of all words in
-    order, the byte at which each begins, and for each text the number of its
-    first word (n + 1 values).  A word's hash is a polynomial over its bytes
+    order, the bytes at which each begins and ends, and for each text the number of
+    its first word (n + 1 values).  A word's hash is a polynomial over its bytes
     modulo 2**64, so equal words have equal hashes wherever they stand.
     """
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
     word = is_word[raw]
     left = np.empty(len(raw), bool)
     left[0] = True
@@ -110,7 +117,7 @@ def word_hashes(offsets: np.ndarray, raw: np.ndarray, is_word: np.ndarray, fold:
     right[inner[inner > 0] - 1] = True
     end = np.flatnonzero(word & right) + 1
     if not len(begin):
-        return np.zeros(0, np.uint64), begin, np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), begin, end, np.zeros(len(offsets), np.int64)
     values = np.where(word, _VALUES[fold[raw]], np.uint64(0))
     hashes = np.zeros(len(begin), np.uint64)
     place = np.arange(len(raw), dtype=np.int64)
@@ -119,7 +126,7 @@ def word_hashes(offsets: np.ndarray, raw: np.ndarray, is_word: np.ndarray, fold:
     power = _powers(int((end - begin).max()))
     terms = values[inside] * power[place[inside] - begin[owner]]
     np.add.reduceat(terms, np.concatenate([[0], np.cumsum(end - begin)[:-1]]), out=hashes)
-    return mix(hashes), begin, np.searchsorted(begin, offsets).astype(np.int64)
+    return mix(hashes), begin, end, np.searchsorted(begin, offsets).astype(np.int64)
 
 
 def _powers(n: int) -> np.ndarray:

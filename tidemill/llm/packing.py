@@ -35,40 +35,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Scratch, small_batches
+from tidemill.llm.common import Scratch, as_bytes, small_batches, word_spans
 
-#: Words whose ids a worker remembers; beyond that it starts anew.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker remembers (some 40 bytes each); beyond that it starts anew.
+CACHED_WORDS = 3_000_000
 _encoders: dict[tuple[str, int], Encoder] = {}
 
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[10, 32]] = False
+_PLAIN = np.arange(256, dtype=np.uint8)
+
 
 class Encoder:
     """Token ids of whole texts by a public tokenizer that drops white space.
 
     Such a tokenizer never joins across a space or line end, so a text's ids are
-    those of its words in turn; the ids of words are remembered.
+    those of its words in turn.  The ids of words are remembered in flat arrays
+    under 64-bit hashes; only words not met before reach the tokenizer.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, the end id last."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list({w for ws in words for w in ws})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) + self.end for ws in words]
+        self.end = end_id
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.n = np.zeros(0, np.int32)
+        self.store, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Add words (hashes sorted, none known)."""
+        ids = []
+        for i in range(0, len(words), 20_000):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter((x for e in ids for x in e), np.uint32, int(n.sum()))
+        while self.used + len(flat) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint32)])
+        self.store[self.used : self.used + len(flat)] = flat
+        place = np.searchsorted(self.keys, hashes)
+        self.at = np.insert(self.at, place, self.used + np.cumsum(n) - n)
+        self.n = np.insert(self.n, place, n)
+        self.keys = np.insert(self.keys, place, hashes)
+        self.used += len(flat)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, each text's end id last, and where each text begins (n + 1 values)."""
+        offsets, raw = as_bytes(column)
+        hashes, begin, end, first = word_spans(offsets, raw, _IS_WORD, _PLAIN)
+        known, example, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) + len(known) > CACHED_WORDS:
+            self._forget()
+        place = np.searchsorted(self.keys, known)
+        new = np.ones(len(known), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != known[inside]
+        if new.any():
+            data = raw.tobytes()
+            self._learn(known[new], [data[begin[i] : end[i]].decode() for i in example[new].tolist()])
+            place = np.searchsorted(self.keys, known)
+        place = place[back]
+        n = self.n[place].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(n)])
+        text = np.arange(len(offsets) - 1)
+        starts = total[first] + np.arange(len(offsets))  # an end id for each text before
+        out = np.empty(int(starts[-1]), np.uint32)
+        owner = np.repeat(text, np.diff(total[first]))
+        source = np.arange(int(total[-1])) + np.repeat(self.at[place] - total[:-1], n)
+        out[np.arange(int(total[-1])) + owner] = self.store[source]
+        out[starts[1:] - 1] = self.end
+        return out, starts
 
 
 def encoder(path: str, end_id: int) -> Encoder:
@@ -88,10 +128,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids
         e = encoder(tokenizer, end_id)
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for i, ids in enumerate(e.encode([t or "" for t in b.column(1).to_pylist()])):
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, x in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):
+            ids, starts = e.encode(b.column(1))
+            data = memoryview(ids.astype("<u4").view(np.uint8))
+            for i, (first, last) in enumerate(zip((4 * starts[:-1]).tolist(), (4 * starts[1:]).tolist(), strict=True)):
+                for k, at in enumerate(range(first, last, 4 * capacity)):
+                    part = data[at : min(last, at + 4 * capacity)]
+                    for column, x in zip(rows, (i, k, (at - first) // 4, len(part) // 4, zlib.crc32(part), bytes(part) if keep_ids else None), strict=True):
                         column.append(x)
             columns = [b.column(0).take(pa.array(rows[0], pa.int32())), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:5])]
             if keep_ids:
@@ -222,4 +264,6 @@ def pack(rows: DataFrame, capacity: int, scratch: Scratch | None = None) -> Data
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
     """Tokenise whole documents, cut those over ``capacity`` and pack all pieces best-fit."""
-    return pack(pieces(docs, tokenizer, end_id, capacity, keep_ids), capacity, Scratch(spark, "packing"))
+    scratch = Scratch(spark, "packing")
+    cut = scratch.save(pieces(docs, tokenizer, end_id, capacity, keep_ids), "pieces")  # a range sort reads its input twice
+    return pack(cut, capacity, scratch)
