@@ -175,10 +175,15 @@ def fit(docs: DataFrame) -> Model:
 _folds: dict[tuple, np.ndarray] = {}
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score for each row of ``docs``: the margin to the next language, 0 to 1."""
+def label(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of ``docs`` with ``lang_pred`` and ``score``: the margin to the next language, 0 to 1.
+
+    Columns of those names in the input are replaced.
+    """
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.drop("lang_pred", "score")
+    at = docs.schema.names.index("text")
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +193,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             _folds.clear()
             _folds[key] = m.fold_table()
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column(at).to_pylist()]
             cost, letters = m.costs(texts, _folds[key])
             names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             if m.languages and len(texts):
@@ -200,10 +205,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     scores = np.ones(len(texts))
                 scores = np.clip(np.where(letters > 0, scores, 0), 0, 1)
                 names = [m.languages[k] if n else UNDETERMINED for k, n in zip(best, letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*b.schema.names, "lang_pred", "score"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred and score for each row of ``docs``."""
+    return label(docs.select("doc_id", "text"), model)
 
 
 def held_out(folds: int, which: int):
