@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.functions import cel
 from tidemill.functions.cel import Env, Typed
@@ -39,7 +40,7 @@ URI = r"^[A-Za-z][A-Za-z0-9+.-]*:" + URI_CHARS + "*$"
 URI_REF = "^" + URI_CHARS + "*$"
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_ip6(s: pd.Series) -> pd.Series:
     def ok(x) -> bool:
         try:
@@ -50,7 +51,7 @@ def _is_ip6(s: pd.Series) -> pd.Series:
     return s.map(ok)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_prefix(s: pd.Series) -> pd.Series:
     def ok(x) -> bool:
         try:
