@@ -54,7 +54,11 @@ CELLS = 1 << 22
 #: Largest set that may count as light.
 LIGHT_MOST = 64
 #: Bits of a set's parity bitmap.
-BITS = 1024
+BITS = 2048
+#: Classes that a task remembers to have listed.
+SEEN = 500_000
+#: Pairs whose sets are picked out by broadcasting their names; with more, the sets are shuffled.
+FEW = 50_000
 #: Lists up to so many sets give their pairs at once.
 SHORT = 12
 BLOCK = 2048
@@ -202,12 +206,17 @@ def _listed(docs: DataFrame, cells: np.ndarray, x: int, k: int, p: int) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
+        cells, seen = shared.value, set()
         for b in batches:
             sets = word_sets(b.column(1), k)
             cls = [class_of(s) if len(s) else None for s in sets]
-            once = {c: i for i, c in reversed(list(enumerate(cls))) if c is not None}
-            keys = {i: _keys(sets[i], cells, x, p) for i in once.values()}
+            keys = {}
+            for i, c in enumerate(cls):  # copies that a task meets are listed once
+                if c is not None and c not in seen:
+                    seen.add(c)
+                    keys[i] = _keys(sets[i], cells, x, p)
+            if len(seen) > SEEN:
+                seen.clear()
             rows = list(range(len(sets))) + [i for i, v in keys.items() for _ in range(len(v))]
             n_docs, n_keys = len(sets), len(rows) - len(sets)
             ids = pa.concat_arrays([b.column(0), pa.nulls(n_keys, b.column(0).type)])
@@ -247,7 +256,8 @@ def _scan(entries: DataFrame, p: int, partitions: int) -> DataFrame:
             pairs: set[tuple[bytes, bytes]] = set()
             long: list[tuple[int, bytes, int, int]] = []
             for s, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                members = sorted(zip(n[s : s + size].tolist(), cls[s : s + size], strict=True))
+                members = sorted(set(zip(n[s : s + size].tolist(), cls[s : s + size], strict=True)))  # tasks list copies again
+                size = len(members)
                 if size <= SHORT:
                     for (na, a), (nb, b) in itertools.combinations(members, 2):
                         if 100 * na >= p * nb:
@@ -284,11 +294,12 @@ def _may_link(pairs: DataFrame, classes: DataFrame, p: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def forest(n: np.ndarray, bits: np.ndarray, group: np.ndarray, refuted: set[tuple[int, int]], p: int, split: int | None = None) -> list[tuple[int, int]]:
+def forest(n: np.ndarray, bits: np.ndarray, group: np.ndarray, refuted: set[tuple[int, int]], p: int, split: int | None = None, more: int = 0) -> list[tuple[int, int]]:
     """Least spanning forest, between groups, of the pairs that may link (Boruvka on the bounds).
 
     ``refuted`` holds pairs (i, j), i < j, that do not link; ``split`` restricts to
-    pairs of one below it and one from it on.
+    pairs of one below it and one from it on.  With ``more``, so many of each set's
+    nearest pairs across groups come besides, to settle stubborn ones sooner.
     """
     size = len(n)
     n = n.astype(np.int64)
@@ -305,6 +316,11 @@ def forest(n: np.ndarray, bits: np.ndarray, group: np.ndarray, refuted: set[tupl
         spare[:split, :split] = spare[split:, split:] = np.inf
     group = np.unique(group, return_inverse=True)[1]
     edges: list[tuple[int, int]] = []
+    if more:
+        spare[group[:, None] == group[None, :]] = np.inf
+        near = np.argpartition(spare, min(more, size - 1), axis=1)[:, :more]
+        i, k = np.nonzero(np.isfinite(np.take_along_axis(spare, near, 1)))
+        edges += [(min(a, b), max(a, b)) for a, b in zip(i.tolist(), near[i, k].tolist(), strict=True)]
     while True:
         spare[group[:, None] == group[None, :]] = np.inf
         to = spare.argmin(axis=1)
@@ -334,7 +350,7 @@ def forest(n: np.ndarray, bits: np.ndarray, group: np.ndarray, refuted: set[tupl
         group = np.array([root(g) for g in range(len(parent))])[group]
 
 
-def _forest_edges(long: DataFrame, classes: DataFrame, labels: DataFrame, refuted: DataFrame, p: int, partitions: int) -> DataFrame:
+def _forest_edges(long: DataFrame, classes: DataFrame, labels: DataFrame, refuted: DataFrame, p: int, partitions: int, extra: int) -> DataFrame:
     """Pairs (a, b) of the long lists that are to be verified next."""
     known = classes.select(F.col("cls").alias("a"), "n", "bits").join(labels, F.col("a") == F.col("node"), "left").join(refuted, "a", "left")
     rows = long.join(known.select("a", "n", "bits", F.coalesce("root", "a").alias("root"), "no"), "a")
@@ -361,7 +377,7 @@ def _forest_edges(long: DataFrame, classes: DataFrame, labels: DataFrame, refute
                 where = {c: i for i, c in enumerate(cls)}
                 no = {(min(i, where[c]), max(i, where[c])) for i, cs in enumerate(part.column(9).to_pylist()) for c in cs or () if c in where}
                 split = int((own[s:e] == low[s]).sum()) if low[s] != high[s] else None
-                for i, j in forest(part.column(6).to_numpy(), _words(part.column(7).combine_chunks()), np.array([names[r] for r in roots]), no, p, split):
+                for i, j in forest(part.column(6).to_numpy(), _words(part.column(7).combine_chunks()), np.array([names[r] for r in roots]), no, p, split, extra):
                     out.add((min(cls[i], cls[j]), max(cls[i], cls[j])))
             columns = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
@@ -460,10 +476,11 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) ->
     members = rows.filter(F.col("key").isNull()).select("doc_id", "n", "cls", "bits")
     classes = members.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"))
     classes = scratch.save(classes, "classes")
-    entries = rows.filter(F.col("key").isNotNull()).select("key", "n", "cls").distinct()
+    entries = rows.filter(F.col("key").isNotNull()).select("key", "n", "cls")
     found = scratch.save(_scan(entries, p, partitions), "found")
     long = found.filter(F.col("key").isNotNull()).select("key", "a", "place", "size")
     pairs = scratch.save(_may_link(found.filter(F.col("key").isNull()).select("a", "b").distinct(), classes, p), "pairs")
+    in_long = scratch.save(classes.join(long.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi"), "in-long")
     wanted = pairs.select("a").unionAll(pairs.select("b")).unionAll(long.select("a")).distinct()
     sets = scratch.save(_full_sets(docs, _wanted(wanted), k), "sets")
     judged = [scratch.save(_verified(pairs, sets, p), "judged-0")]
@@ -474,10 +491,16 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) ->
         labels = components(every.filter("linked"), scratch, f"labels-{len(judged)}")
         no = every.filter("NOT linked")
         refuted = no.select("a", "b").unionAll(no.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_list("b").alias("no"))
-        more = scratch.save(_forest_edges(long, classes, labels, refuted, p, partitions), f"more-{len(judged)}")
-        if not more.take(1):
+        extra = 0 if len(judged) == 1 else 8
+        more = scratch.save(_forest_edges(long, in_long, labels, refuted, p, partitions, extra), f"more-{len(judged)}")
+        n_more = more.count()
+        if not n_more:
             break
-        judged.append(scratch.save(_verified(more, sets, p), f"judged-{len(judged)}"))
+        own = sets
+        if n_more <= FEW:
+            names = more.select(F.col("a").alias("cls")).unionAll(more.select("b")).distinct()
+            own = sets.join(F.broadcast(names), "cls", "left_semi")
+        judged.append(scratch.save(_verified(more, own, p), f"judged-{len(judged)}"))
     named = classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "least_id", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = scratch.save(named.join(least, "root").select("cls", "component_id"), "named")
@@ -487,7 +510,11 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) ->
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without all but one of each component: the least id stays, once."""
+    """The documents without all but one of each component.
+
+    The least id stays; rows that repeat it are one document.  Rows without an id and
+    documents without words stay.
+    """
     found, _, _ = join(spark, docs, k, percent)
     gone = found.filter(F.col("cls").isNotNull() & F.col("doc_id").isNotNull() & (F.col("doc_id") > F.col("component_id"))).select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
