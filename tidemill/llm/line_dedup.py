@@ -132,7 +132,7 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, least_chars: int = 40, leas
             lower = int(low) + i * step
             own = (F.col("doc_id") >= lower) & (F.col("doc_id") < lower + step)
             runs.add(keys.filter(own | F.col("doc_id").isNull() if i == 0 else own))
-    hot = runs.verdict(least_docs)
+    hot = scratch.save(runs.verdict(least_docs), "hot")  # written, so that the join below can split a hot key
     lost = keys.join(hot, "key").filter(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc")))
     lost = scratch.save(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lost")
     scratch.drop("keys", *runs.names())
