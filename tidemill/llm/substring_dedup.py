@@ -13,18 +13,16 @@ of all others follows from the sampled suffix next to them and the bytes between
   those that begin in some ``length``-byte string around it.  The choice depends on
   that string alone, so equal strings, wherever they lie, hold the same sample at
   the same place; about one suffix in sixteen is taken.
-* Hashes of sampled suffixes are shuffled in packed blocks and sorted; those met in
-  one document only are settled.  The others are marked in a filter of fixed size,
+* 48 bits of the sampled suffixes' hashes are shuffled in packed blocks and sorted;
+  suffixes met in one document only are settled.  The others are marked in a filter of fixed size,
   which may mark too much but never too little.
 * Marked samples travel with ``length - GRAM`` bytes on either side to a sort by
   sample.  There, strings that begin k bytes before the sample are equal if the k
   bytes before and the bytes behind are; one sorted sweep for each k finds the
-  least document of each string and so the strings to remove.  Bytes are compared
-  in full, so a hash collision removes nothing.
-* Copies of a whole text are settled beforehand; of equal surroundings among the
-  texts that a task handles at once only those of the least document travel for the
-  comparison, so a passage in a third of all documents is a row for each such chunk
-  and not for each document.
+  least document of each string and so the strings to remove.  The bytes
+  beside the sample are compared in full, the sample itself by its 64-bit hash.
+* Copies of a whole text are settled beforehand; of equal surroundings among
+  ``HELD`` samples of a task only those of the least document travel for comparison.
 
 The texts meet their marks in one join by document at the end.
 
@@ -44,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import _VALUES, Scratch, as_bytes, mix, small_batches
+from tidemill.llm.common import _RADIX, _VALUES, Scratch, as_bytes, mix, small_batches
 
 GRAM = 20
 #: Bits of the filter of samples that several documents hold; its size is fixed.
@@ -113,41 +111,39 @@ def _shared_filter(rows: DataFrame, length: int, scratch: Scratch) -> np.ndarray
     spark = rows.sparkSession
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = 1 << max(0, (partitions - 1).bit_length())  # a slice each
-    shift = np.uint64(64 - parts.bit_length() + 1)
+    shift = np.uint64(48 - parts.bit_length() + 1)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for rows, offsets, raw in _chunks(b, 1):
                 _, text, h = samples(offsets, raw, length)
+                h = h >> np.uint64(16)  # 48 bits: two samples taken for one mark too much, never too little
                 order = np.lexsort((ids[rows][text], h))
                 h, d = h[order], ids[rows][text][order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                h, d = h[new], d[new]
+                h = h[new]  # once for each document
                 part = (h >> shift).astype(np.int64) if parts > 1 else np.zeros(len(h), np.int64)
                 cut = np.searchsorted(part, np.arange(parts + 1))
                 full = np.flatnonzero(np.diff(cut))
-                data = [(h[cut[p] : cut[p + 1]].tobytes(), _small(d[cut[p] : cut[p + 1]])) for p in full.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([x for x, _ in data], pa.binary()), pa.array([y for _, y in data], pa.binary())], names=["part", "hashes", "ids"])
+                low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16)
+                data = [[x[cut[p] : cut[p + 1]].tobytes() for p in full.tolist()] for x in (low, high)]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(x, pa.binary()) for x in data)], names=["part", "low", "high"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            for p, h, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.setdefault(p, []).append((h, d))
-        for p, blocks in held.items():
-            h = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in blocks])
-            d = np.concatenate([_large(y) for _, y in blocks])
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            more = np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts)
+            for p, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.setdefault(p, []).append(np.frombuffer(low, np.uint32) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32))
+        for p in list(held):
+            h = np.sort(np.concatenate(held.pop(p)))
+            more = h[1:][h[1:] == h[:-1]]
             bits = np.zeros(FILTER_BITS // parts, np.uint8)
-            bits[((h[starts][more] << np.uint64(parts.bit_length() - 1)) >> np.uint64(64 - (FILTER_BITS // parts).bit_length() + 1)).astype(np.int64)] = 1
+            bits[((more << np.uint64(16 + parts.bit_length() - 1)) >> np.uint64(64 - (FILTER_BITS // parts).bit_length() + 1)).astype(np.int64)] = 1
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "bits"])
 
-    packed = rows.select("doc_id", "text").mapInArrow(blocks, "part int, hashes binary, ids binary").repartition(partitions, "part")
+    packed = rows.select("doc_id", "text").mapInArrow(blocks, "part int, low binary, high binary").repartition(partitions, "part")
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     size = FILTER_BITS // parts // 8
     for r in packed.mapInArrow(several, "part int, bits binary").toLocalIterator():  # FILTER_BITS in all
@@ -155,32 +151,41 @@ def _shared_filter(rows: DataFrame, length: int, scratch: Scratch) -> np.ndarray
     return out
 
 
-def _small(ids: np.ndarray) -> bytes:
-    """Ids as the least plus 32-bit differences where those suffice."""
-    low = int(ids.min())
-    if int(ids.max()) - low < 1 << 32:
-        return b"s" + np.int64(low).tobytes() + (ids - low).astype(np.uint32).tobytes()
-    return b"l" + ids.astype(np.int64).tobytes()
-
-
-def _large(data: bytes) -> np.ndarray:
-    if data[:1] == b"s":
-        return np.frombuffer(data, np.int64, 1, 1)[0] + np.frombuffer(data, np.uint32, -1, 9).astype(np.int64)
-    return np.frombuffer(data, np.int64, -1, 1)
-
-
-MARKS = "doc_id long, tk long, place int, mask long"
+MARKS = "doc_id long, tk int, place int, mask long"
+#: Marked samples that a task compares among themselves before they travel.
+HELD = 300_000
 
 
 def _surroundings(rows: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
-    """Marked samples with the bytes around them; or, where a smaller id of the chunk has the same, their marks."""
+    """Marked samples with the bytes beside them; or, where a smaller id held with them has the same, their marks."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # FILTER_BITS
     side = length - GRAM
-    wide = 2 * side + GRAM
     shift = np.uint64(64 - FILTER_BITS.bit_length() + 1)
+    beside = np.concatenate([np.arange(side), np.arange(side + GRAM, 2 * side + GRAM)])
+
+    def met(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, doc, tk, place, behind, around = (np.concatenate(x) for x in zip(*held, strict=True))
+        before = np.minimum(place, side)
+        kind = h.copy()
+        for i in range(2 * side):
+            kind = kind * _RADIX + around[:, i]
+        kind = mix(kind * _RADIX + behind.astype(np.uint64))
+        order = np.lexsort((doc, kind))
+        lead = np.ones(len(order), bool)
+        lead[1:] = kind[order][1:] != kind[order][:-1]
+        head = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+        same = (around[order] == around[head]).all(axis=1) & (before[order] == before[head]) & (behind[order] == behind[head]) & (h[order] == h[head])
+        later = np.zeros(len(order), bool)
+        later[order] = same & (doc[order] > doc[head])
+        mask = np.where(later, _possible(before, behind, side), 0)
+        key = np.where(later, mix(doc.view(np.uint64)).view(np.int64), h.view(np.int64))
+        body = [None if x else a.tobytes() for x, a in zip(later.tolist(), around, strict=True)]
+        columns = [pa.array(x) for x in (key, doc, tk, place.astype(np.int32), mask, behind.astype(np.int8))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(body, pa.binary())], names=["sample", "doc_id", "tk", "place", "mask", "behind", "around"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             for rows, offsets, raw in _chunks(b, 1):
@@ -193,28 +198,17 @@ def _surroundings(rows: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame
                 before = np.minimum(place - offsets[text], side)
                 behind = np.minimum(offsets[text + 1] - place - GRAM, side)
                 padded = np.concatenate([np.zeros(side, np.uint8), raw, np.zeros(side, np.uint8)])
-                around = padded[place[:, None] + np.arange(wide)[None, :]]
-                column = np.arange(wide)[None, :]
-                around[(column < side - before[:, None]) | (column >= side + GRAM + behind[:, None])] = 0
-                doc, tk = ids[rows][text], keys[rows][text]
-                kind = mix(np.add.reduce(around.astype(np.uint64) * _weights(wide), axis=1) + before.astype(np.uint64) * np.uint64(1 << 40) + behind.astype(np.uint64)) ^ h
-                order = np.lexsort((doc, kind))
-                lead = np.ones(len(order), bool)
-                lead[1:] = kind[order][1:] != kind[order][:-1]
-                head = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-                same = (around[order] == around[head]).all(axis=1) & (before[order] == before[head]) & (behind[order] == behind[head])
-                later = np.zeros(len(order), bool)
-                later[order] = same & (doc[order] > doc[head])
-                mask = np.where(later, _possible(before, behind, side), 0)
-                spot = (place - offsets[text]).astype(np.int32)
-                key = np.where(later, tk ^ doc, h.view(np.int64))
-                body = [None if x else a.tobytes() for x, a in zip(later.tolist(), around, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(doc), pa.array(tk), pa.array(spot), pa.array(mask.astype(np.int64)), pa.array(before.astype(np.int8)), pa.array(behind.astype(np.int8)), pa.array(body, pa.binary())],
-                    names=["sample", "doc_id", "tk", "place", "mask", "before", "behind", "around"],
-                )
-
-    return rows.select("doc_id", "text", "tk").mapInArrow(run, "sample long, doc_id long, tk long, place int, mask long, before byte, behind byte, around binary")
+                around = padded[place[:, None] + beside[None, :]]
+                column = np.arange(2 * side)[None, :]
+                around[(column < side - before[:, None]) | (column >= side + behind[:, None])] = 0
+                held.append((h, ids[rows][text], keys[rows][text], place - offsets[text], behind, around))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield met(held)
+                    held = []
+        if held:
+            yield met(held)
+
+    return rows.select("doc_id", "text", "tk").mapInArrow(run, "sample long, doc_id long, tk int, place int, mask long, behind byte, around binary")
 
 
 def _weights(n: int) -> np.ndarray:
@@ -229,43 +223,49 @@ def _possible(before: np.ndarray, behind: np.ndarray, side: int) -> np.ndarray:
 
 
 def sweep(sample: np.ndarray, doc: np.ndarray, before: np.ndarray, behind: np.ndarray, around: np.ndarray, length: int) -> np.ndarray:
-    """Marks of samples whose strings some smaller document has: one sorted sweep for each place of the string."""
+    """Marks of samples whose strings some smaller document has: one sorted sweep for each place of the string.
+
+    ``around`` holds the bytes on either side; the sample itself is its 64-bit hash.
+    """
     side = length - GRAM
     possible = _possible(before, behind, side)
     mask = np.zeros(len(doc), np.int64)
-    weights = _weights(length)
+    weights = _weights(side)
     for k in range(side + 1):
         own = np.flatnonzero(possible >> k & 1)
         if len(own) < 2:
             continue
-        string = around[own, side - k : side - k + length]
-        value = mix((string.astype(np.uint64) * weights).sum(axis=1)) ^ sample[own].view(np.uint64)
+        string = around[own, side - k : 2 * side - k]
+        value = sample[own].view(np.uint64)
+        for i in range(side):
+            value = value + string[:, i] * weights[i]
+        value = mix(value)
         order = np.lexsort((doc[own], value))
         v, d = value[order], doc[own][order]
         new = np.ones(len(v), bool)
         new[1:] = v[1:] != v[:-1]
         head = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
         later = np.flatnonzero(d > d[head])
-        same = (string[order[later]] == string[order[head[later]]]).all(axis=1)
-        mask[own[order[later[same]]]] |= 1 << k
+        one, two = order[later], order[head[later]]
+        same = (string[one] == string[two]).all(axis=1) & (sample[own[one]] == sample[own[two]])
+        mask[own[one[same]]] |= 1 << k
     return mask
 
 
 def _marks(around: DataFrame, length: int, partitions: int) -> DataFrame:
-    wide = 2 * (length - GRAM) + GRAM
+    side = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
         def judged(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
-            sample, doc, tk, place, mask, before, behind = (t.column(i).to_numpy() for i in range(7))
+            sample, doc, tk, place, mask, behind = (t.column(i).to_numpy() for i in range(6))
             mask = mask.copy()
             open_ = np.flatnonzero(mask == 0)
             if len(open_):
-                body = t.column(7).combine_chunks()
-                _, raw = as_bytes(body.take(pa.array(open_)))
-                mask[open_] = sweep(sample[open_], doc[open_], before[open_].astype(np.int64), behind[open_].astype(np.int64), raw.reshape(-1, wide), length)
+                _, raw = as_bytes(t.column(6).combine_chunks().take(pa.array(open_)))
+                mask[open_] = sweep(sample[open_], doc[open_], np.minimum(place[open_], side).astype(np.int64), behind[open_].astype(np.int64), raw.reshape(-1, 2 * side), length)
             found = mask != 0
             return pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (doc, tk, place, mask)], names=["doc_id", "tk", "place", "mask"])
 
@@ -285,12 +285,26 @@ def _marks(around: DataFrame, length: int, partitions: int) -> DataFrame:
     return dealt.mapInArrow(run, MARKS)
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """The texts compressed, for the one shuffle that whole texts take part in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            data = [squeeze.compress(x.encode()) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["doc_id", "tk", "packed"])
+
+    return keyed.select("doc_id", "tk", "text").mapInArrow(run, "doc_id long, tk int, packed binary")
+
+
 def removals(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, text, n_bytes, n_removed, n_spans, spans and ``kept``: the bytes that stay."""
+    """doc_id, n_bytes, n_removed, n_spans, spans and ``kept``: the bytes that stay."""
     small_batches(spark)
     scratch = Scratch(spark, "substrings")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = docs.withColumn("tk", F.xxhash64("text"))
+    keyed = docs.withColumn("tk", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     names = keyed.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "tk", F.unhex(F.sha2("text", 256)).alias("whole"))
     names = scratch.save(names, "names")
     least = scratch.save(names.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "least")
@@ -304,16 +318,19 @@ def removals(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFram
     marks = _marks(_surroundings(rows, bitmap, length), length, partitions)
     marks = marks.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
     marks = marks.unionByName(copies.select("doc_id", "tk", F.array(F.struct(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("mask"))).alias("marks")))
-    both = keyed.join(marks.hint("shuffle_hash"), ["doc_id", "tk"], "left").select("doc_id", "text", "marks")
+    both = _packed(keyed).join(marks.hint("shuffle_hash"), ["doc_id", "tk"], "left").select("doc_id", "packed", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor()
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             at, marks = b.column(2).offsets.to_numpy(), b.column(2).values
             place, mask = marks.field(0).to_numpy(), marks.field(1).to_numpy()
             empty = b.column(2).is_null().to_pylist()
-            for i, text in enumerate(b.column(1).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
+            for i, packed in enumerate(b.column(1).to_pylist()):
+                data = open_.decompress(packed)
                 spans = [] if empty[i] else covered(place[at[i] : at[i + 1]], mask[at[i] : at[i + 1]], len(data), length)
                 kept, last = [], 0
                 for s, e in spans:
@@ -323,9 +340,9 @@ def removals(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFram
                 for column, x in zip(out, (len(data), sum(e - s for s, e in spans), len(spans), ",".join(f"{s}:{e}" for s, e in spans), b"".join(kept)), strict=True):
                     column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "text", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    return both.mapInArrow(cut, "doc_id long, text string, n_bytes long, n_removed long, n_spans long, spans string, kept binary")
+    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans string, kept binary")
 
 
 def covered(place: np.ndarray, mask: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
