@@ -59,6 +59,23 @@ def test_bounded_buffers():
         jobs.bounded_suppress(rows, 2, "shutdown")
 
 
+def test_bounded_suppress_query_reads_all_events(spark):
+    import pyarrow.parquet as pq
+
+    from tidemill.plans import registry
+
+    d = "/root/testdata/sf0.01"
+    e = pq.read_table(f"{d}/events.parquet").sort_by("event_id")
+    want, _ = jobs.bounded_suppress(list(zip(e["user_id"].to_pylist(), e["value"].to_pylist(), strict=True)), 5, "emit_early")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "700")
+    try:
+        assert list(map(tuple, registry.queries()["w14_bounded_suppress"](spark, d).collect())) == want
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_two_phase_sink_is_idempotent_over_restart(spark, parts, tmp_path):
     d, e = parts
     done: list[int] = []

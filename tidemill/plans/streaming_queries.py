@@ -71,12 +71,18 @@ def w13(s, d):
 
 @query("w14_bounded_suppress")
 def w14(s, d):
-    """One buffer over all keys, as the cap is global: a bounded run of the stream in one task."""
+    """One buffer over all keys, as the cap is global: every event in order of arrival through one task, a batch at a time."""
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        out, _ = jobs.bounded_suppress(list(zip(rows["user_id"].tolist(), rows["value"].tolist(), strict=True)), 5, "emit_early")
-        yield pd.DataFrame(out, columns=["user_id", "value"])
+        def out(rows):
+            rows = list(rows)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["user_id", "value"])
 
-    return table(s, d, "events").filter("event_id < 1000").select("user_id", "value", "event_id").coalesce(1).mapInPandas(run, "user_id long, value double")
+        buffer: dict = {}
+        for b in batches:
+            yield out(jobs.overflow(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), buffer, 5, "emit_early", dead=lambda row: None))
+        yield out(buffer.items())
+
+    e = table(s, d, "events").select("user_id", "value", "event_id").repartition(1).sortWithinPartitions("event_id")
+    return e.mapInArrow(run, "user_id long, value double")

@@ -8,7 +8,7 @@ so a batch may accept a record that record-by-record stream time would call late
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,15 +71,13 @@ def debounce(df: DataFrame, key: str, value: str, ts_ms: str, arrival: str, limi
     return df.filter(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {value} {value_kind}, at_ms long", f"first long, last {value_kind}", "append", GroupStateTimeout.NoTimeout)
 
 
-def bounded_suppress(rows: list[tuple], cap: int, policy: str) -> tuple[list[tuple], list[tuple]]:
-    """A buffer of at most ``cap`` keys over (key, value) updates in order: (emitted, dead letters).
+def overflow(rows: Iterable[tuple], buffer: dict, cap: int, policy: str, dead: Callable[[tuple], None]) -> Iterator[tuple]:
+    """What (key, value) updates in order push out of ``buffer``, which holds at most ``cap`` keys and is all the state.
 
     ``emit_early`` releases the oldest key, ``drop_oldest`` forgets it, ``dead_letter``
     diverts the newcomer, ``shutdown`` raises.  The cap is one for all keys, so it runs
     where one task holds the buffer.
     """
-    buffer: dict = {}
-    emitted, dead = [], []
     for k, v in rows:
         if k in buffer or len(buffer) < cap:
             buffer[k] = v
@@ -87,13 +85,20 @@ def bounded_suppress(rows: list[tuple], cap: int, policy: str) -> tuple[list[tup
         if policy == "shutdown":
             raise OverflowError(f"more than {cap} keys are held back")
         if policy == "dead_letter":
-            dead.append((k, v))
+            dead((k, v))
             continue
         oldest = next(iter(buffer))
         gone = (oldest, buffer.pop(oldest))
         if policy == "emit_early":
-            emitted.append(gone)
+            yield gone
         buffer[k] = v
+
+
+def bounded_suppress(rows: list[tuple], cap: int, policy: str) -> tuple[list[tuple], list[tuple]]:
+    """``overflow`` over a list, and the rest of the buffer at its end: (emitted, dead letters)."""
+    buffer: dict = {}
+    dead: list[tuple] = []
+    emitted = list(overflow(rows, buffer, cap, policy, dead.append))
     return emitted + list(buffer.items()), dead
 
 
