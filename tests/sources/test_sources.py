@@ -83,6 +83,14 @@ def test_snapshots(spark):
     assert lakehouse.by_ref(s, refs, "tag").first().snapshot_id == 1
 
 
+def test_lineage_is_walked_by_joins(spark):
+    s = spark.createDataFrame([(i, i - 1 if i else None, i) for i in range(50)] + [(60, 61, 0), (61, 62, 0), (62, 61, 0)], "snapshot_id long, parent_id long, ts long")
+    assert lakehouse.ancestors(s, 49) == list(range(49, -1, -1)) and lakehouse.between(s, 10, 40) == list(range(40, 10, -1))
+    assert lakehouse.ancestors(s, 60) == [60, 61, 62] and lakehouse.ancestors(s, 99) == []
+    with pytest.raises(ValueError):
+        lakehouse.lineage_between(s, 60, 40)
+
+
 def test_schema_evolution(spark):
     of = lambda *f: T.StructType([T.StructField(n, t, null) for n, t, null in f])
     old = of(("a", T.IntegerType(), False), ("d", T.DecimalType(9, 2), True))

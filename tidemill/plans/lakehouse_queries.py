@@ -22,8 +22,11 @@ def file_stats(s, d):
 _SNAPSHOTS = "(SELECT event_id AS snapshot_id, CASE WHEN event_id > 0 THEN event_id - 1 END AS parent_id, ts FROM events WHERE event_id < 400)"
 
 
+_ALL_SNAPSHOTS = "(SELECT event_id AS snapshot_id, CASE WHEN event_id > 0 THEN event_id - 1 END AS parent_id, ts FROM events)"
+
+
 def snapshots(s, d):
-    return table(s, d, "events").filter("event_id < 400").select(F.col("event_id").alias("snapshot_id"), F.when(F.col("event_id") > 0, F.col("event_id") - 1).alias("parent_id"), "ts")
+    return table(s, d, "events").select(F.col("event_id").alias("snapshot_id"), F.when(F.col("event_id") > 0, F.col("event_id") - 1).alias("parent_id"), "ts")
 
 
 _ENTRIES = """(SELECT 'f' || event_id AS file_path, event_id // 10 AS snapshot_id, CASE WHEN event_type = 'error' THEN 'deleted' WHEN event_type = 'view' THEN 'existing' ELSE 'added' END AS status, user_id AS record_count FROM events)"""
@@ -36,13 +39,18 @@ def entries(s, d):
 
 @query("l1_snapshot_as_of", f"SELECT * FROM {_SNAPSHOTS} WHERE ts <= TIMESTAMP '2024-01-02 12:00:00' ORDER BY ts DESC LIMIT 1")
 def l1(s, d):
+    """Over the first 400 snapshots, as its SQL says; l1_snapshot_as_of_whole takes all."""
+    return lakehouse.as_of(snapshots(s, d).filter("snapshot_id < 400"), F.expr("TIMESTAMP_NTZ '2024-01-02 12:00:00'"))
+
+
+@query("l1_snapshot_as_of_whole", f"SELECT * FROM {_ALL_SNAPSHOTS} WHERE ts <= TIMESTAMP '2024-01-02 12:00:00' ORDER BY ts DESC, snapshot_id DESC LIMIT 1")
+def l1_whole(s, d):
     return lakehouse.as_of(snapshots(s, d), F.expr("TIMESTAMP_NTZ '2024-01-02 12:00:00'"))
 
 
 @query("l2_snapshots_between", "SELECT CAST(i AS BIGINT) AS snapshot_id FROM range(101, 121) t(i)")
 def l2(s, d):
-    ids = lakehouse.between(snapshots(s, d), 100, 120)
-    return s.createDataFrame([(i,) for i in ids], "snapshot_id long")
+    return lakehouse.lineage_between(snapshots(s, d), 100, 120).select("snapshot_id")
 
 
 @query("l3_file_pruning", f"SELECT file_path, NOT (k_lower >= 450 AND k_upper <= 900) AS residual FROM {_FILES} WHERE k_upper >= 450 AND k_lower <= 900")
@@ -87,8 +95,19 @@ def a14(s, d):
 @query("l10_snapshot_expiry", f"""SELECT snapshot_id FROM {_SNAPSHOTS} WHERE ts + INTERVAL 5 DAY < TIMESTAMP '2024-01-12' AND snapshot_id NOT IN (7, 11)
     AND snapshot_id NOT IN (SELECT snapshot_id FROM {_SNAPSHOTS} ORDER BY ts DESC LIMIT 3)""")
 def l10(s, d):
+    """Over the first 400 snapshots, as its SQL says; l10_snapshot_expiry_whole takes all."""
+    return expired(s, snapshots(s, d).filter("snapshot_id < 400"))
+
+
+def expired(s, snaps):
     refs = s.createDataFrame([("main", 7), ("tag", 11)], "name string, snapshot_id long")
-    return lakehouse.expired(snapshots(s, d), refs, F.expr("TIMESTAMP_NTZ '2024-01-12'"), F.expr("INTERVAL 5 DAYS"), 3).select("snapshot_id")
+    return lakehouse.expired(snaps, refs, F.expr("TIMESTAMP_NTZ '2024-01-12'"), F.expr("INTERVAL 5 DAYS"), 3).select("snapshot_id")
+
+
+@query("l10_snapshot_expiry_whole", f"""SELECT snapshot_id FROM {_ALL_SNAPSHOTS} WHERE ts + INTERVAL 5 DAY < TIMESTAMP '2024-01-12' AND snapshot_id NOT IN (7, 11)
+    AND snapshot_id NOT IN (SELECT snapshot_id FROM {_ALL_SNAPSHOTS} ORDER BY ts DESC, snapshot_id DESC LIMIT 3)""")
+def l10_whole(s, d):
+    return expired(s, snapshots(s, d))
 
 
 @query("l11_orphan_files", f"SELECT 'f' || event_id AS file_path FROM events EXCEPT SELECT file_path FROM {_ENTRIES} WHERE status <> 'deleted'")

@@ -1,7 +1,7 @@
 """Table formats as plans over their metadata: snapshots, logs, timelines, files, deletes, upkeep.
 
-Metadata is DataFrames, so that a table of a million files is planned by the cluster;
-only walks along parents, one row a snapshot, happen on the driver.
+Metadata is DataFrames, so that a table of a million files is planned by the cluster,
+and walks along parents are joins too.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions import predicates
+from tidemill.sources import sinks
 
 # --- snapshots: snapshot_id, parent_id, ts
 
@@ -30,22 +31,49 @@ def by_ref(snapshots: DataFrame, refs: DataFrame, name: str) -> DataFrame:
     return snapshots.join(F.broadcast(refs.filter(F.col("name") == name).limit(1).select("snapshot_id")), "snapshot_id")
 
 
+def lineage(snapshots: DataFrame, snapshot_id: int, until: int | None = None) -> DataFrame:
+    """(snapshot_id, depth): a snapshot at depth 0 and its ancestors, at least as far as ``until``.
+
+    Each round follows jumps of twice the length, so the rounds are logarithmic in the
+    depth.  They are written, as the plan would double with each.
+    """
+
+    def saved(df: DataFrame) -> DataFrame:
+        path = sinks.shared_path(df.sparkSession, "lineage")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    line = saved(snapshots.filter(F.col("snapshot_id") == snapshot_id).select("snapshot_id", F.lit(0).cast("long").alias("depth")))
+    own = snapshots.select(F.col("parent_id").alias("snapshot_id"), F.col("snapshot_id").alias("_from"))
+    jumps = saved(own.join(snapshots.select("snapshot_id"), "snapshot_id", "left_semi").select("_from", F.col("snapshot_id").alias("_to")))
+    step, n = 1, line.count()
+    while n and (until is None or line.filter(F.col("snapshot_id") == until).isEmpty()):
+        more = line.join(jumps, F.col("snapshot_id") == F.col("_from")).select(F.col("_to").alias("snapshot_id"), (F.col("depth") + step).alias("depth"))
+        line = saved(line.unionAll(more).groupBy("snapshot_id").agg(F.min("depth").alias("depth")))  # a cycle is gone round once
+        before, n = n, line.count()
+        if n == before:
+            break
+        jumps = saved(jumps.join(jumps.select(F.col("_from").alias("_to"), F.col("_to").alias("_next")), "_to").select("_from", F.col("_next").alias("_to")))
+        step *= 2
+    return line
+
+
 def ancestors(snapshots: DataFrame, snapshot_id: int) -> list[int]:
     """From a snapshot back along its parents, itself first."""
-    parent = {r[0]: r[1] for r in snapshots.select("snapshot_id", "parent_id").collect()}  # a row a snapshot
-    out, at = [], snapshot_id
-    while at in parent and at not in out:
-        out.append(at)
-        at = parent[at]
-    return out
+    return [r[0] for r in lineage(snapshots, snapshot_id).orderBy("depth").collect()]  # a row an ancestor
 
 
-def between(snapshots: DataFrame, after: int, to: int) -> list[int]:
-    """Ancestors of ``to`` past ``after``, which is left out."""
-    line = ancestors(snapshots, to)
-    if after not in line:
+def lineage_between(snapshots: DataFrame, after: int, to: int) -> DataFrame:
+    """(snapshot_id, depth): ancestors of ``to`` past ``after``, which is left out."""
+    line = lineage(snapshots, to, after)
+    end = line.filter(F.col("snapshot_id") == after).first()
+    if end is None:
         raise ValueError(f"{after} is no ancestor of {to}")
-    return line[: line.index(after)]
+    return line.filter(F.col("depth") < end["depth"])
+
+
+def between(snapshots: DataFrame, after: int, to: int) -> list[int]:
+    return [r[0] for r in lineage_between(snapshots, after, to).orderBy("depth").collect()]
 
 
 # --- files: file_path, status (added, existing, deleted), snapshot_id, statistics
