@@ -27,3 +27,7 @@ def test_snapshots(spark, sql):
     assert both(spark, sql, "l1_snapshot_as_of_whole")["snapshot_id"].tolist() == [514]
     assert both(spark, sql, "l10_snapshot_expiry_whole")["snapshot_id"].max() > 400
     both(spark, sql, "l2_snapshots_between")
+
+
+def test_applicable_deletes(spark, sql):
+    assert len(both(spark, sql, "l5_applicable_deletes_whole")) > 50_000

@@ -69,13 +69,24 @@ def l4(s, d):
     x AS (SELECT 'x' || event_id AS delete_path, user_id AS part, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'position' ELSE 'equality' END AS kind FROM events WHERE event_id < 300 AND event_type = 'error')
     SELECT file_path, delete_path, kind FROM f JOIN x USING (part) WHERE CASE WHEN kind = 'position' THEN x.seq >= f.seq ELSE x.seq > f.seq END""")
 def l5(s, d):
-    e = table(s, d, "events").filter("event_id < 300")
+    """Over the first 300 events, as its SQL says; l5_applicable_deletes_whole takes all."""
+    return applicable_deletes(table(s, d, "events").filter("event_id < 300"))
+
+
+def applicable_deletes(e):
     name = lambda p: F.concat(F.lit(p), F.col("event_id").cast("string")).alias("file_path")
     part, seq = F.col("user_id").alias("partition"), F.col("event_id").alias("sequence")
     kind = F.when(F.col("event_id") % 2 == 0, "position").otherwise("equality").alias("kind")
     return lakehouse.applicable_deletes(e.filter("event_type <> 'error'").select(name("d"), part, seq), e.filter("event_type = 'error'").select(name("x"), part, seq, kind))
 
 
+@query("l5_applicable_deletes_whole", """WITH f AS (SELECT 'd' || event_id AS file_path, user_id AS part, event_id AS seq FROM events WHERE event_type <> 'error'),
+    x AS (SELECT 'x' || event_id AS delete_path, user_id AS part, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'position' ELSE 'equality' END AS kind FROM events WHERE event_type = 'error')
+    SELECT file_path, delete_path, kind FROM f JOIN x USING (part) WHERE CASE WHEN kind = 'position' THEN x.seq >= f.seq ELSE x.seq > f.seq END""")
+def l5_whole(s, d):
+    return applicable_deletes(table(s, d, "events"))
+
+
 @query("l6_append_scan", f"SELECT file_path FROM {_ENTRIES} WHERE status = 'added' AND snapshot_id BETWEEN 11 AND 20")
 def l6(s, d):
     return lakehouse.appended(entries(s, d), list(range(11, 21))).select("file_path")
