@@ -31,3 +31,7 @@ def test_snapshots(spark, sql):
 
 def test_applicable_deletes(spark, sql):
     assert len(both(spark, sql, "l5_applicable_deletes_whole")) > 50_000
+
+
+def test_set_difference(spark, sql):
+    assert both(spark, sql, "o4_set_difference_whole").empty

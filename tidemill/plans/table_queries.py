@@ -238,5 +238,14 @@ def o2(s, d):
 
 @query("o4_set_difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 500)")
 def o4(s, d):
-    used = table(s, d, "orders").filter("o_orderkey < 500").select(F.col("o_custkey").alias("c_custkey"))
-    return table(s, d, "customer").select("c_custkey").join(used, "c_custkey", "left_anti")
+    """Without the customers of the first orders, as its SQL says; o4_set_difference_whole takes all."""
+    return without_orders(s, d, table(s, d, "orders").filter("o_orderkey < 500"))
+
+
+def without_orders(s, d, orders):
+    return table(s, d, "customer").select("c_custkey").join(orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("o4_set_difference_whole", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def o4_whole(s, d):
+    return without_orders(s, d, table(s, d, "orders"))
