@@ -35,3 +35,23 @@ def test_applicable_deletes(spark, sql):
 
 def test_set_difference(spark, sql):
     assert both(spark, sql, "o4_set_difference_whole").empty
+
+
+def test_sort_order(spark, sql):
+    assert both(spark, sql, "o1_sort_order_whole")["rank"].max() == 15_000
+
+
+def test_numbered_gives_every_row_its_rank(spark):
+    from tidemill.operators import ordering
+
+    data = [(i, None if i % 5 == 0 else i % 7) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, x int").repartition(3)
+    fields = [("identity", "x", "desc", "last"), ("identity", "id", "asc", "first")]
+    want = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several tasks
+    try:
+        out = ordering.numbered(df, fields, "rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.id, r.x) for r in sorted(out, key=lambda r: r["rank"])] == want and {r["rank"] for r in out} == set(range(1, 301))
+    assert ordering.numbered(df.limit(0), fields, "rank").count() == 0
