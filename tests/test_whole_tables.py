@@ -55,3 +55,7 @@ def test_numbered_gives_every_row_its_rank(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [(r.id, r.x) for r in sorted(out, key=lambda r: r["rank"])] == want and {r["rank"] for r in out} == set(range(1, 301))
     assert ordering.numbered(df.limit(0), fields, "rank").count() == 0
+
+
+def test_sessions_touch(spark, sql):
+    assert both(spark, sql, "w7_sessions_touch_whole")["a_id"].min() < 900

@@ -136,15 +136,25 @@ def a9(s, d):
 
 @query("w7_sessions_touch", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_id >= 900 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600000000")
 def w7(s, d):
+    """Over the events from 900 on, as its SQL says; w7_sessions_touch_whole takes all."""
+    return touching(table(s, d, "events").filter("event_id >= 900"))
+
+
+def touching(events):
     from tidemill.operators import windows
 
-    e = table(s, d, "events").filter("event_id >= 900").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     a, b = (e.select(*(F.col(c).alias(f"{p}_{c}") for c in e.columns)) for p in "ab")
     on = (F.col("a_user_id") == F.col("b_user_id")) & (F.col("a_event_id") < F.col("b_event_id"))
     hit = windows.touches(F.col("a_us"), F.col("a_us"), F.col("b_us"), F.col("b_us"), 21_600_000_000)
     return a.join(b, on & hit).select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"))
 
 
+@query("w7_sessions_touch_whole", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600000000")
+def w7_whole(s, d):
+    return touching(table(s, d, "events"))
+
+
 def debounced(rows: pd.DataFrame) -> pd.DataFrame:
     first = last = None
     out = []
