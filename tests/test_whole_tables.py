@@ -59,3 +59,15 @@ def test_numbered_gives_every_row_its_rank(spark):
 
 def test_sessions_touch(spark, sql):
     assert both(spark, sql, "w7_sessions_touch_whole")["a_id"].min() < 900
+
+
+@pytest.mark.parametrize(("name", "n"), [("j7_foreign_key_inner_whole", 15_000), ("j8_foreign_key_left_whole", 15_000), ("j9_global_inner_whole", 1500), ("j10_global_left_whole", 1500), ("s7_backfill_whole", 150)])
+def test_joins_and_backfill(spark, sql, name, n):
+    assert len(both(spark, sql, name)) == n
+
+
+def test_backfill_has_no_gap_before_its_tail(spark, tmp_path):
+    rows = [(1, "a", 100), (1, "b", 450), (2, "c", 700)]
+    spark.createDataFrame(rows, "user_id long, event_type string, event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.queries()["s7_backfill_whole"](spark, str(tmp_path)).select("user_id", "event_type", "event_id").collect()
+    assert sorted(map(tuple, got)) == [(1, "b", -1), (2, "c", 700)]
