@@ -35,12 +35,32 @@ def test_tiling_matches_brute_force():
     for _ in range(150):
         item = np.array([RNG.randrange(3) for _ in range(RNG.randrange(2, 18))], np.uint64)
         text = np.array([RNG.randrange(3) for _ in range(RNG.randrange(2, 30))], np.uint64)
-        seeds = [(i, j) for i in range(len(item) - 1) for j in range(len(text) - 1) if (item[i : i + 2] == text[j : j + 2]).all()]
-        tiles = D.tiling(seeds, item, text, 2)
+        tiles = D.tiling(item, text, 2)
         assert len({x for i, _, n in tiles for x in range(i, i + n)}) == sum(n for *_, n in tiles) == len({x for _, j, n in tiles for x in range(j, j + n)})
         assert sum(n for *_, n in tiles) == brute_tiling(item.tolist(), text.tolist(), 2)
 
 
+def test_repetitive_texts_take_no_pairs_of_places():
+    import time
+
+    import numpy as np
+
+    began = time.process_time()
+    assert sum(n for *_, n in D.tiling(np.full(5000, 7, np.uint64), np.full(25_000, 7, np.uint64), 5)) == 5000
+    two = np.tile(np.array([1, 2, 3], np.uint64), 1700)
+    assert sum(n for *_, n in D.tiling(two[:5000], np.concatenate([two[1:4001], [9], two[:900], [8], two[2:1000]]).astype(np.uint64), 5)) >= 4995
+    assert time.process_time() - began < 4
+
+
+def test_string_ids_repeats_ties_and_long_repetitive_text(spark):
+    a, b = " ".join(words(12)), " ".join(words(12))
+    docs = spark.createDataFrame([("x", a + " " + b + " " + a), ("x", a), ("y", "na " * 150_000), ("z", None)], "doc_id string, text string")
+    bench = spark.createDataFrame([("i", a), ("i", a), ("j", b), ("k", "na " * 900), (None, b)], "item_id string, text string")
+    got = sorted((r.doc_id, r.item_id or "-", r.n_tiles) for r in D.contamination(docs, bench).collect())
+    assert got == sorted([("x", "i", 1), ("x", "i", 1), ("x", "j", 1), ("x", "-", 1), ("x", "i", 1), ("x", "i", 1), ("y", "k", 1)])
+    assert [r.doc_id for r in D.clean(docs, bench).collect()] == ["z"]
+
+
 def test_operator(spark, make_docs):
     item = words(40)
     short = ["tiny", "item"]

@@ -1,9 +1,12 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
 from test_decontaminate import brute_tiling
+from test_jaccard_join import reference_components
 
 import corpus_pipeline
-from tidemill.llm import decontaminate, jaccard_join, line_dedup
+from tidemill.llm import decontaminate, line_dedup
 
 RNG = random.Random(17)
 
@@ -24,7 +27,7 @@ def lines_kept(rows):
 def brute(rows, items):
     rows = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
     rows = lines_kept(rows)
-    groups = jaccard_join.reference_components(rows, 5, 80)
+    groups = reference_components(rows, 5, 80)
     rows = [(i, t) for i, t in rows if not t.split() or groups[i][1] == i]
     return {i: t for i, t in rows if all(brute_tiling(m.split(), t.split(), min(5, len(m.split()))) < decontaminate.COVERAGE * len(m.split()) for m in items)}
 
@@ -51,6 +54,23 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(want)
 
 
+def test_unexplained_texts_go_and_missing_labels_are_filled_in(spark, tmp_path):
+    rows = [(i, " ".join(prose(30)), "en") for i in range(20)] + [(30, "ωψξ жщю " * 40, None), (31, " ".join(prose(30)), None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()}
+    assert got == {i: "en" for i in range(20)} | {31: "en"}
+    with pytest.raises(ValueError, match="language"):
+        corpus_pipeline.STAGES[0][1](spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path))
+
+
+def test_repeated_ids_and_empty_benchmark(spark, tmp_path):
+    rows = [(i // 2, " ".join(prose(30))) for i in range(12)] + [(7, "word " * 30_000 + " ".join(prose(5)))]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got if r.piece == 0) == sorted(i for i, _ in rows)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

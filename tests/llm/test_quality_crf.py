@@ -65,3 +65,17 @@ def test_held_out_accuracy(spark):
     model = Q.fit(docs, labels.filter(~held_out(3, 1)))
     got = Q.score(docs, model).join(labels.filter(held_out(3, 1)), "doc_id").collect()
     assert sum((r.score >= 0.5) == (r.quality == 1) for r in got) >= 0.97 * len(got)
+
+
+def test_half_junk_gets_both_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.fit(docs, labels.filter(~held_out(3, 1)))
+    rows = docs.join(labels.filter(held_out(3, 1)), "doc_id").filter("length(text) BETWEEN 300 AND 3000").orderBy("doc_id").select("text", "quality").collect()
+    good, bad = ([r.text for r in rows if r.quality == q] for q in (1, 0))
+    both = [(g, b) for g, b in zip(good, bad, strict=False)][:30]
+    p, size, first = model.lines(pa.array([g + "\n" + b for g, b in both]))
+    right = 0
+    for i, (g, _) in enumerate(both):
+        k, own, w = g.count("\n") + 1, p[first[i] : first[i + 1]], size[first[i] : first[i + 1]] + 1
+        right += np.average(own[:k], weights=w[:k]) >= 0.5 > np.average(own[k:], weights=w[k:])
+    assert len(both) >= 10 and right >= 0.85 * len(both)

@@ -32,3 +32,13 @@ def test_large_components_and_few_rows(spark):
     assert run(spark, rows) == brute(rows)
     assert run(spark, [(0, [1.0])]) == []
     assert run(spark, []) == []
+
+
+def test_many_large_vectors_leave_k_rows_a_task(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-4e6, 4e6) for _ in range(4)]) for i in range(200)] + [(7, [1e6] * 4), (50, [2e6] * 4)]
+    want = [r for r in brute(rows) if r[0] != 50]
+    assert [r for r in run(spark, rows) if r[0] != 50] == want
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    plan = T.search(spark, df.withColumn("score", df.vec_id), df.filter("vec_id = 0"))
+    assert plan.count() == 5

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_roots: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is one made here.
+    Only where the session names none and runs on one machine (tests) is one made here.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="tidemill-"))
     return _own[0]
@@ -33,12 +37,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+        with shuffles_removed(self.spark):
+            df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -49,12 +55,60 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
 
+    def left(self, prefix: str) -> list[str]:
+        """Names of the tables that still stand and begin so."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [n for n in (f.getPath().getName() for f in files.listStatus(path)) if n.startswith(prefix)]
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep an Arrow batch of whole texts small: whole documents may be very long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, an action's shuffle files go as soon as it has ended: what it wrote is read from then on."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def sweep(spark: SparkSession, before: int) -> None:
+    """Delete all scratch folders but the first ``before``: their readers are done."""
+    conf = spark._jsc.hadoopConfiguration()
+    for root in _roots[before:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+    del _roots[before:]
+
+
+def mark() -> int:
+    """A place in the list of scratch folders, for ``sweep``."""
+    return len(_roots)
+
+
+#: Bytes of text that a worker handles at once.
+PART_BYTES = 4 << 20
+
+
+def text_parts(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = PART_BYTES, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that none has more than ``most`` bytes of text or ``rows`` rows, unless a single row has.
+
+    Spark bounds a batch by bytes and rows of its own (``spark.sql.execution.arrow.*``);
+    what is worked out beside the texts takes many times their size, hence smaller parts.
+    """
+    for b in batches:
+        if b.num_rows <= 1:
+            yield b
+            continue
+        size = pc.cumulative_sum(pc.fill_null(pc.binary_length(b.column(text)), 0).cast(pa.int64())).to_numpy()
+        at = 0
+        while at < b.num_rows:
+            done = int(size[at - 1]) if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(size, done + most, side="right"))))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +137,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
 
 
 def word_hashes(offsets: np.ndarray, raw: np.ndarray, is_word: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,8 +151,10 @@ def word_spans(offsets: np.ndarray, raw: np.ndarray, is_word: np.ndarray, fold:
     ``is_word`` and ``fold`` are tables over the 256 byte values: what belongs to
     a word, and what a byte is taken for.  Returns the hashes of all words in
     order, the bytes at which each begins and ends, and for each text the number of
-    its first word (n + 1 values).  A word's hash is a polynomial over its bytes
-    modulo 2**64, so equal words have equal hashes wherever they stand.
+    its first word (n + 1 values).  A word's hash is the sum of its bytes' values,
+    each times a random odd multiplier of its place, modulo 2**64 (multilinear
+    hashing): equal words have equal hashes wherever they stand, and as the
+    multipliers follow no rule of each other, no rule makes different words collide.
     """
     if not len(raw):
         none = np.zeros(0, np.int64)
@@ -123,16 +178,24 @@ def word_spans(offsets: np.ndarray, raw: np.ndarray, is_word: np.ndarray, fold:
     place = np.arange(len(raw), dtype=np.int64)
     owner = np.repeat(np.arange(len(begin)), end - begin)
     inside = np.flatnonzero(word)
-    power = _powers(int((end - begin).max()))
+    power = _multipliers(int((end - begin).max()))
     terms = values[inside] * power[place[inside] - begin[owner]]
     np.add.reduceat(terms, np.concatenate([[0], np.cumsum(end - begin)[:-1]]), out=hashes)
     return mix(hashes), begin, end, np.searchsorted(begin, offsets).astype(np.int64)
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n + 1, _RADIX, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+_multiplier_table = np.zeros(0, np.uint64)
+
+
+def _multipliers(n: int) -> np.ndarray:
+    """The odd multipliers of the first n places of a word, by a counter through the finaliser."""
+    global _multiplier_table
+    if len(_multiplier_table) < n:
+        many = max(n, 256)
+        if many > 1 << 20:  # a word as long as that is not worth keeping
+            return mix(np.arange(1, n + 1, dtype=np.uint64) * _RADIX) | np.uint64(1)
+        _multiplier_table = mix(np.arange(1, many + 1, dtype=np.uint64) * _RADIX) | np.uint64(1)
+    return _multiplier_table
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -25,7 +25,8 @@ pairs of blocks, so no task holds more than two.
 
 Defined results: null or empty text, or text without words, is the empty set and
 links with nothing; fewer words than n are one shingle of all; rows that repeat an
-id are documents of their own; a row without id is never a representative unless
+id are documents of their own; very long texts are sets like others (a set is held
+whole where it is made and verified); a row without id is never a representative unless
 its component has no id at all; an empty table gives an empty result; other columns
 are not read.
 """
@@ -33,6 +34,7 @@ are not read.
 from __future__ import annotations
 
 import itertools
+import logging
 import math
 from collections.abc import Iterator
 
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Scratch, as_bytes, mix, shingle_hashes, small_batches, word_hashes
+from tidemill.llm.common import Scratch, as_bytes, mix, shingle_hashes, text_parts, word_hashes
 from tidemill.llm.components import components
 
 IS_WORD = np.ones(256, bool)
@@ -49,6 +51,8 @@ IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
+log = logging.getLogger(__name__)
+
 #: Cells of the table of shingle counts.
 CELLS = 1 << 22
 #: Largest set that may count as light.
@@ -139,7 +143,7 @@ def _counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, sizes = np.zeros(CELLS, np.int64), np.zeros(LIGHT_MOST + 1, np.int64)
-        for b in batches:
+        for b in text_parts(batches, 0):
             sets = word_sets(b.column(0), k)
             if sets:
                 cells += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS)
@@ -207,7 +211,7 @@ def _listed(docs: DataFrame, cells: np.ndarray, x: int, k: int, p: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen = shared.value, set()
-        for b in batches:
+        for b in text_parts(batches):
             sets = word_sets(b.column(1), k)
             cls = [class_of(s) if len(s) else None for s in sets]
             keys = {}
@@ -429,7 +433,7 @@ def _full_sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shared.value)
-        for b in batches:
+        for b in text_parts(batches, 0):
             out = {}
             for s in word_sets(b.column(0), k):
                 if len(s):
@@ -457,42 +461,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ia", "ib").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, light_most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents, classes and links.
 
     ``documents``: doc_id, n_shingles, cls (null without shingles), component_id.
     ``classes``: cls, n, least_id.  ``links``: (a, b) verified links between classes
-    that span every component.
+    that span every component.  ``light_most`` sets the boundary between light and
+    heavy sets, which is chosen by cost otherwise.
     """
-    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     p = percent
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select("doc_id", "text")
     cells, sizes = _counts(docs, k)
-    x = boundary(sizes, float(cells[cells > 0].mean()) if (cells > 0).any() else 0.0, p)
-    listed = _listed(docs, cells, x, k, p)
-    rows = scratch.save(listed, "listed")
-    members = rows.filter(F.col("key").isNull()).select("doc_id", "n", "cls", "bits")
-    classes = members.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"))
+    x = boundary(sizes, float(cells[cells > 0].mean()) if (cells > 0).any() else 0.0, p) if light_most is None else light_most
+    log.info("light sets have at most %d shingles: %d of those up to %d", x, int(sizes[1 : x + 1].sum()), LIGHT_MOST)
+    rows = scratch.save(_listed(docs, cells, x, k, p), "listed")
+    members = scratch.save(rows.filter(F.col("key").isNull()).select("doc_id", "n", "cls"), "members")
+    classes = rows.filter(F.col("key").isNull() & F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"))
     classes = scratch.save(classes, "classes")
-    entries = rows.filter(F.col("key").isNotNull()).select("key", "n", "cls")
-    found = scratch.save(_scan(entries, p, partitions), "found")
-    long = found.filter(F.col("key").isNotNull()).select("key", "a", "place", "size")
+    found = scratch.save(_scan(rows.filter(F.col("key").isNotNull()).select("key", "n", "cls"), p, partitions), "found")
+    scratch.drop("listed")
+    long = scratch.save(found.filter(F.col("key").isNotNull()).select("key", "a", "place", "size"), "long-0")
     pairs = scratch.save(_may_link(found.filter(F.col("key").isNull()).select("a", "b").distinct(), classes, p), "pairs")
-    in_long = scratch.save(classes.join(long.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi"), "in-long")
+    scratch.drop("found")
     wanted = pairs.select("a").unionAll(pairs.select("b")).unionAll(long.select("a")).distinct()
     sets = scratch.save(_full_sets(docs, _wanted(wanted), k), "sets")
     judged = [scratch.save(_verified(pairs, sets, p), "judged-0")]
+    scratch.drop("pairs")
+    in_long = scratch.save(classes.join(long.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi"), "in-long")
     while True:
         every = judged[0]
         for j in judged[1:]:
             every = every.unionAll(j)
-        labels = components(every.filter("linked"), scratch, f"labels-{len(judged)}")
+        turn = len(judged)
+        labels = components(every.filter("linked"), scratch, f"labels-{turn}")
+        long = scratch.save(_unsettled(long, labels), f"long-{turn}")
+        scratch.drop(f"long-{turn - 1}")
         no = every.filter("NOT linked")
         refuted = no.select("a", "b").unionAll(no.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_list("b").alias("no"))
-        extra = 0 if len(judged) == 1 else 8
-        more = scratch.save(_forest_edges(long, in_long, labels, refuted, p, partitions, extra), f"more-{len(judged)}")
+        extra = 0 if turn == 1 else 8
+        more = scratch.save(_forest_edges(long, in_long, labels, refuted, p, partitions, extra), f"more-{turn}")
         n_more = more.count()
         if not n_more:
             break
@@ -500,13 +509,23 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) ->
         if n_more <= FEW:
             names = more.select(F.col("a").alias("cls")).unionAll(more.select("b")).distinct()
             own = sets.join(F.broadcast(names), "cls", "left_semi")
-        judged.append(scratch.save(_verified(more, own, p), f"judged-{len(judged)}"))
+        judged.append(scratch.save(_verified(more, own, p), f"judged-{turn}"))
+        scratch.drop(f"more-{turn}")
     named = classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "least_id", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = scratch.save(named.join(least, "root").select("cls", "component_id"), "named")
     out = members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cls").join(named, "cls", "left")
-    out = out.select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out, classes.select("cls", "n", "least_id"), every.filter("linked").select("a", "b")
+    out = scratch.save(out.select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id")), "out")
+    links = scratch.save(every.filter("linked").select("a", "b"), "links")
+    kinds = scratch.save(classes.select("cls", "n", "least_id"), "kinds")
+    scratch.drop("members", "classes", "long-0", f"long-{turn}", "in-long", "sets", "named", *(f"judged-{i}" for i in range(turn)), f"more-{turn}", *scratch.left("labels-"))
+    return out, kinds, links
+
+
+def _unsettled(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """The long lists whose sets are not all of one component yet."""
+    roots = long.join(labels, F.col("a") == F.col("node"), "left").groupBy("key").agg(F.min(F.coalesce("root", "a")).alias("low"), F.max(F.coalesce("root", "a")).alias("high"))
+    return long.join(roots.filter("low <> high").select("key"), "key", "left_semi").select("key", "a", "place", "size")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -518,27 +537,3 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80
     found, _, _ = join(spark, docs, k, percent)
     gone = found.filter(F.col("cls").isNotNull() & F.col("doc_id").isNotNull() & (F.col("doc_id") > F.col("component_id"))).select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
-
-
-def reference_components(rows: list[tuple[int, str | None]], k: int, p: int) -> dict[int, tuple[int, int]]:
-    """(set size, component) by brute force; for tests."""
-    import re
-
-    sets = {}
-    for i, t in rows:
-        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-        w = re.findall(r"[^\x20\x09-\x0D]+", low)
-        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
-    up = {i: i for i in sets}
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i, j in itertools.combinations(sorted(sets), 2):
-        a, b = sets[i], sets[j]
-        if a and b and 100 * len(a & b) >= p * len(a | b):
-            x, y = sorted((root(i), root(j)))
-            up[y] = x
-    return {i: (len(s), root(i)) for i, s in sets.items()}

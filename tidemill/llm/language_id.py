@@ -8,10 +8,14 @@ logarithm of its training length, explains the text best and wins.
 
 Letters are lower-cased and folded to the symbols that occur in the training texts;
 all else but letters is one separator, so figures and signs favour no language.
-The automata are dense tables (state by symbol); many texts are parsed side by
-side, one step of all at a time.  Texts longer than ``SEGMENT`` symbols are parsed in
-segments of that length, all of them, and the phrases are summed, so a very long
-text is no slower than many short ones.
+The automata are double arrays: a state's edges lie at its own offset in one common
+table, whose size follows the edges and not the alphabet.  Many texts are parsed
+side by side, one step of all at a time.  So that a very long text is no slower than
+many short ones it is parsed in segments at once, each from the root; where the
+parse of the segment before, carried on, begins a phrase that this one begins
+as well, both are the same from there on.  The phrases counted are those of one parse
+of the whole text; where a segment's parse never meets the one before, the
+text is parsed again in one go.
 
 Training is bounded: ``TRAIN_CHARS`` symbols a language, from whole texts taken in
 the order of a hash of their id until the bound is reached; the automata's size is
@@ -32,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import small_batches
+from tidemill.llm.common import text_parts
 
 #: Symbols of training text a language; texts enter whole but for the last.
 TRAIN_CHARS = 60_000
 #: Rows a language that may be looked at to get them.
 TRAIN_ROWS = 400
-SEGMENT = 2048
+#: Symbols of a text that are parsed in one go before its other segments are joined; no result depends on it.
+SEGMENT = 1024
 UNDETERMINED = "und"
 
 
@@ -48,7 +53,12 @@ def folded(text: str) -> str:
 
 
 class Automaton:
-    """The suffix automaton of a symbol sequence as a dense table: state 0 is the root, -1 no edge."""
+    """The suffix automaton of a symbol sequence as a double array: state 0 is the root.
+
+    The edge of state s by symbol c is the cell at ``base[s] + c``, if that cell
+    bears the mark of s; a cell holds its state's mark in the upper half and the
+    target in the lower.
+    """
 
     def __init__(self, symbols: list[int], alphabet: int):
         edges: list[dict[int, int]] = [{}]
@@ -76,11 +86,100 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        table = np.full((len(edges), alphabet), -1, np.int32)
-        for s, e in enumerate(edges):
-            if e:
-                table[s, list(e)] = list(e.values())
-        self.table, self.size = table.reshape(-1), len(symbols)
+        self.size = len(symbols)
+        self.base, self.cells = double_array(edges, alphabet)
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states that the edges lead to, -1 without an edge."""
+        cell = self.cells[self.base[state] + symbol]
+        return np.where(cell >> 32 == state, cell & 0xFFFFFFFF, -1)
+
+
+def double_array(edges: list[dict[int, int]], alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets by state and the common table of cells."""
+    base = np.zeros(len(edges), np.int64)
+    used = bytearray(2 * sum(map(len, edges)) + (len(edges) + 2) * 2 + 4 * alphabet)
+    front = alphabet
+    for s in sorted((s for s, e in enumerate(edges) if len(e) > 1), key=lambda s: -len(edges[s])):
+        symbols = sorted(edges[s])
+        at = max(0, front - symbols[0] - 24)  # a hole behind the front, if one fits
+        while any(used[at + c] for c in symbols):
+            at += 1
+        if at + symbols[-1] + alphabet >= len(used):
+            used += bytearray(len(used))
+        for c in symbols:
+            used[at + c] = 1
+        base[s] = at
+        front = max(front, at + symbols[0] + 1)
+    single = [s for s, e in enumerate(edges) if len(e) == 1]
+    free = np.flatnonzero(np.frombuffer(used, np.uint8)[alphabet:] == 0) + alphabet
+    if len(free) < len(single):
+        free = np.concatenate([free, np.arange(len(used), len(used) + len(single))])
+    base[single] = free[: len(single)] - np.fromiter((c for s in single for c in edges[s]), np.int64, len(single))
+    owner = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
+    symbol = np.fromiter((c for e in edges for c in e), np.int64, len(owner))
+    target = np.fromiter((t for e in edges for t in e.values()), np.int64, len(owner))
+    place = base[owner] + symbol
+    cells = np.full(int(max(place.max(initial=0), base.max(initial=0)) + alphabet + 1), -1, np.int64)
+    cells[place] = owner << 32 | target
+    return base, cells
+
+
+def parse(a: Automaton, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Parse segments side by side from the root; longest first.  Marks in ``begins`` where phrases begin; the states at the end."""
+    begins[start[length > 0]] = True
+    state = np.zeros(len(start), np.int64)
+    steps = int(length[0]) if len(length) else 0
+    live = np.searchsorted(-length, -np.arange(steps), side="left")  # segments longer than the step
+    for t in range(steps):
+        n = live[t]
+        at = start[:n] + t
+        c = symbols[at]
+        to = a.follow(state[:n], c)
+        stuck = np.flatnonzero(to < 0)
+        if len(stuck):  # a match ends here; the symbol begins the next, or is a phrase of its own
+            begins[at[stuck]] = True
+            again = a.follow(np.zeros(len(stuck), np.int64), c[stuck])
+            alone = again < 0
+            begins[at[stuck[alone]] + 1] = True
+            to[stuck] = np.where(alone, 0, again)
+        state[:n] = to
+    return state
+
+
+def joined(a: Automaton, symbols: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry parses on from ``start`` until they begin a phrase where ``begins`` has one.
+
+    Returns where that is (-1: not before ``end``) and the phrases begun before.
+    """
+    met, more = np.full(len(start), -1, np.int64), np.zeros(len(start), np.int64)
+    lane, at, state = np.arange(len(start)), start.copy(), state.copy()
+    while len(lane):
+        c = symbols[at]
+        to = a.follow(state, c)
+        fresh = (to < 0) | (state == 0)
+        done = fresh & begins[at]
+        met[lane[done]] = at[done]
+        more[lane[fresh & ~done]] += 1
+        to = np.where(fresh, a.follow(np.zeros(len(c), np.int64), c), to)
+        go = ~done & (at + 1 < end[lane])
+        lane, at, state = lane[go], at[go] + 1, np.maximum(to[go], 0)
+    return met, more
+
+
+def phrases_of(a: Automaton, symbols: list[int]) -> int:
+    """The phrases of one text, symbol by symbol."""
+    base, cells = a.base, a.cells
+    state = n = 0
+    for c in symbols:
+        cell = int(cells[base[state] + c])
+        if state and cell >> 32 == state:
+            state = cell & 0xFFFFFFFF
+            continue
+        n += 1
+        cell = int(cells[base[0] + c])
+        state = cell & 0xFFFFFFFF if cell >> 32 == 0 else 0
+    return n
 
 
 class Model:
@@ -124,27 +223,24 @@ class Model:
         start = begin[owner] + nth * SEGMENT
         length = np.minimum(SEGMENT, sizes[owner] - nth * SEGMENT)
         order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        steps = int(length[0]) if len(length) else 0
-        live = np.searchsorted(-length, -np.arange(steps), side="left")  # segments longer than the step
+        behind = np.flatnonzero(nth > 0)  # segments that another one of their text precedes
         out = np.zeros((len(texts), len(self.automata)))
         for k, a in enumerate(self.automata):
-            state = np.zeros(len(owner), np.int64)
-            phrases = np.zeros(len(owner), np.int64)
-            table, width = a.table, self.alphabet
-            for t in range(steps):
-                n = live[t]
-                c = symbols[start[:n] + t]
-                to = table[state[:n] * width + c]
-                stuck = np.flatnonzero(to < 0)
-                if len(stuck):  # a match ends here; the symbol begins the next, or is a phrase of its own
-                    phrases[stuck] += state[stuck] > 0
-                    again = table[c[stuck]]
-                    phrases[stuck] += again < 0
-                    to[stuck] = np.maximum(again, 0)
-                state[:n] = to
-            phrases += state > 0
-            out[:, k] = np.bincount(owner, phrases, len(texts)) * self.bits[k]
+            begins = np.zeros(len(symbols) + 1, bool)
+            state = np.empty(len(owner), np.int64)
+            state[order] = parse(a, symbols, start[order], length[order], begins)
+            count = np.concatenate([[0], np.cumsum(begins)])
+            phrases = count[start + length] - count[start]
+            if len(behind):
+                end = start[behind] + length[behind]
+                met, more = joined(a, symbols, start[behind], end, state[behind - 1], begins)
+                phrases[behind] = count[end] - count[np.where(met < 0, end, met)] + more
+                total = np.bincount(owner, phrases, len(texts))
+                for i in np.unique(owner[behind[met < 0]]).tolist():
+                    total[i] = phrases_of(a, symbols[begin[i] : begin[i] + sizes[i]].tolist())
+            else:
+                total = np.bincount(owner, phrases, len(texts))
+            out[:, k] = total * self.bits[k]
         return out, letters
 
 
@@ -176,13 +272,13 @@ _folds: dict[tuple, np.ndarray] = {}
 
 
 def label(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score``: the margin to the next language, 0 to 1.
+    """All columns of ``docs`` with ``lang_pred``, ``score``: the margin to the next language, 0 to 1, and
+    ``phrase_letters``: letters by phrase of the language told, which is near 1 where it explains nothing.
 
     Columns of those names in the input are replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "phrase_letters")
     at = docs.schema.names.index("text")
     shared = spark.sparkContext.broadcast(model)
 
@@ -192,10 +288,10 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
         if key not in _folds:
             _folds.clear()
             _folds[key] = m.fold_table()
-        for b in batches:
+        for b in text_parts(batches, at):
             texts = [t or "" for t in b.column(at).to_pylist()]
             cost, letters = m.costs(texts, _folds[key])
-            names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            names, scores, long = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if m.languages and len(texts):
                 best = cost.argmin(axis=1)
                 ordered = np.sort(cost, axis=1)
@@ -204,11 +300,12 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
                 else:
                     scores = np.ones(len(texts))
                 scores = np.clip(np.where(letters > 0, scores, 0), 0, 1)
+                long = letters / np.maximum(cost.min(axis=1) / np.array(m.bits)[best], 1)
                 names = [m.languages[k] if n else UNDETERMINED for k, n in zip(best, letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(long)], names=[*b.schema.names, "lang_pred", "score", "phrase_letters"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, phrase_letters double")
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

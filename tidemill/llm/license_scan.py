@@ -4,9 +4,11 @@ Method.  A text becomes lower-case words of [a-z0-9]; five in a row are a shingl
 (a template with fewer words is one shingle of all).  Templates fall into classes
 by size: 1, 4, 16 or 64 shingles, the largest that fits.  For each class a text is
 cut into windows of that many shingles, overlapping by half; a template gives its
-windows of that size at every start.  Whatever the place of a copy, some window of
-the text then lies wholly inside it and has the same shingles as one of the
-template's, but for the words that were changed.  Each window has ``BANDS`` MinHash
+windows of that size at every start.  Where a copy has one and a half windows' shingles
+or more, some window of the text lies wholly inside it whatever its place, and has the
+same shingles as one of the template's, but for the words that were changed; of a
+shorter template the best window shares three quarters of its shingles at least.
+Each window has ``BANDS`` MinHash
 values, one row a band; one equal value makes the template a candidate.  With
 windows alike to degree s that is missed with probability (1 - s) ** BANDS: under
 0.0014 at s = 2/3, which a containment of 0.8 implies for the mean window, and each
@@ -154,6 +156,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     every = _longs(sorted({k for _, _, _, keys in known for k in keys}))
     keys = F.flatten(F.array(*(_band_keys(F.col("h"), c, max(1, c // 2)) for c in CLASSES if any(x[1] == c for x in known))))
     rows = scratch.save(rows.withColumn("hits", F.array_intersect(keys, every)), "hits").filter(F.size("hits") > 0)
+    scratch.drop("shingles")
     own = F.array_distinct("h")
     found = [
         F.when(F.arrays_overlap("hits", _longs(k)), F.struct(F.lit(name).alias("license"), F.size(F.array_intersect(own, _longs(h))).cast("long").alias("n_found"), F.lit(len(h)).cast("long").alias("n_shingles")))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Scratch, as_bytes, small_batches, word_spans
+from tidemill.llm.common import Scratch, as_bytes, text_parts, word_spans
 
 #: Words whose ids a worker remembers (some 40 bytes each); beyond that it starts anew.
 CACHED_WORDS = 3_000_000
@@ -50,7 +50,7 @@ class Encoder:
     """Token ids of whole texts by a public tokenizer that drops white space.
 
     Such a tokenizer never joins across a space or line end, so a text's ids are
-    those of its words in turn.  The ids of words are remembered in flat arrays
+    those of its words in turn; one that does not is refused.  The ids of words are remembered in flat arrays
     under 64-bit hashes; only words not met before reach the tokenizer.
     """
 
@@ -59,6 +59,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end_id
+        probe = ["a b", "a", "b", "a\nb\n", " a  b"]
+        own = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe]
+        if not own[0] == own[1] + own[2] == own[3] == own[4]:
+            raise ValueError("the tokenizer joins words across white space")
         self._forget()
 
     def _forget(self) -> None:
@@ -119,14 +123,13 @@ def encoder(path: str, end_id: int) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
-    small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         e = encoder(tokenizer, end_id)
-        for b in batches:
+        for b in text_parts(batches, rows=500):
             rows: tuple[list, ...] = ([], [], [], [], [], [])
             ids, starts = e.encode(b.column(1))
             data = memoryview(ids.astype("<u4").view(np.uint8))
@@ -266,4 +269,6 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id:
     """Tokenise whole documents, cut those over ``capacity`` and pack all pieces best-fit."""
     scratch = Scratch(spark, "packing")
     cut = scratch.save(pieces(docs, tokenizer, end_id, capacity, keep_ids), "pieces")  # a range sort reads its input twice
-    return pack(cut, capacity, scratch)
+    out = pack(cut, capacity, scratch)
+    scratch.drop("pieces")
+    return out

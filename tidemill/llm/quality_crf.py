@@ -6,7 +6,10 @@ within it and against the line before, and the same of its two neighbouring line
 Forward-backward gives each line's marginal probability of good; weighted with the
 lines' lengths they add up to the document's score.
 
-Labels are of whole documents; in training all lines of a document bear its label.
+Labels are of whole documents, while lines have labels of their own that nobody has
+given.  In training a document's label counts as a noisy copy of each of its lines'
+labels (wrong with probability ``NOISE``), and the likelihood sums over all label
+paths of its lines.  So a line of junk in a good document may be learnt as what it is.
 Training is bounded: at most ``TRAIN_DOCS`` documents a class, taken in the order of
 a hash of their id, and of those as many whole texts as ``TRAIN_BYTES`` hold.  Only
 that bounded list of ids is broadcast.  Scoring covers every line of every text,
@@ -28,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import as_bytes, mix, small_batches, word_spans
+from tidemill.llm.common import as_bytes, mix, text_parts, word_spans
 
 TRAIN_DOCS = 1500
 TRAIN_BYTES = 8 << 20
 ROUNDS = 120
+#: Chance that a line's own label is not its document's.
+NOISE = 0.1
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -162,7 +167,7 @@ class Model:
         self.weights, self.transitions = np.zeros(WIDTH), np.zeros((2, 2))
 
     def fit(self, x: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> Model:
-        """Ascend the chains' log-likelihood; classes weigh alike."""
+        """Ascend the log-likelihood of the documents' labels, the lines' labels summed out."""
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         self.mean[-1], self.scale[-1] = 0, 1
         x = (x - self.mean) / self.scale
@@ -170,12 +175,12 @@ class Model:
         y = np.repeat(labels, lines).astype(float)
         theta = np.zeros(WIDTH + 4)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        own = np.zeros((2, 2))
-        for c in (0, 1):
-            own[c, c] = (lines[labels == c] - 1).sum()
+        told = (2 * y - 1) * np.log((1 - NOISE) / NOISE)  # log-odds of good from the document's label alone
         for k in range(1, rounds + 1):
-            p, expected, _ = marginals(x @ theta[:WIDTH], theta[WIDTH:].reshape(2, 2), first)
-            slope = np.concatenate([x.T @ (y - p), (own - expected).ravel()]) / len(y) - 1e-3 * theta
+            odds, transitions = x @ theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
+            p, expected, _ = marginals(odds, transitions, first)
+            q, given, _ = marginals(odds + told, transitions, first)
+            slope = np.concatenate([x.T @ (q - p), (given - expected).ravel()]) / len(y) - 1e-3 * theta
             m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
             theta = theta + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         self.weights, self.transitions = theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
@@ -222,11 +227,10 @@ def _by_hash():
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score for each row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1)))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -15,7 +15,6 @@ points, end exclusive; other columns of the input are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemill.llm.common import small_batches
+from tidemill.llm.common import text_parts
 
 # The base patterns and the least lengths that the contract states.
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -98,13 +97,12 @@ SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: its id and ``spans`` with kind, start, end and value."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton()
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-        for b in batches:
+        for b in text_parts(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 text = text or ""
@@ -127,17 +125,3 @@ def digest(spans: DataFrame) -> DataFrame:
 
     counts = [count(k) for k in ("assign", "access", "hex")]
     return spans.select("doc_id", *counts, F.sha2(joined(("assign", "access", "hex")), 256).alias("base_sha256"), joined(None).alias("spans"))
-
-
-def reference_digest(text: str | None) -> str:
-    """The base spans' digest by the plainest means; for tests."""
-    text = text or ""
-    spans = [("assign", m.start(), m.end()) for m in re.finditer(ASSIGN, text, re.A | re.I) if len(m[2]) >= 6]
-    spans += [("access", m.start(), m.end()) for m in re.finditer(ACCESS, text) if m.end() - m.start() >= 20]
-    spans += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
-    spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    return digest_of(spans)
-
-
-def digest_of(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()

@@ -12,58 +12,70 @@ of all others follows from the sampled suffix next to them and the bytes between
 * A suffix is sampled if the hash of its first ``GRAM`` bytes is the least among
   those that begin in some ``length``-byte string around it.  The choice depends on
   that string alone, so equal strings, wherever they lie, hold the same sample at
-  the same place; about one suffix in sixteen is taken.
+  the same place; two suffixes in seventeen are taken.
 * 48 bits of the sampled suffixes' hashes are shuffled in packed blocks and sorted;
-  suffixes met in one document only are settled.  The others are marked in a filter of fixed size,
-  which may mark too much but never too little.
+  suffixes met in one document only are settled.  The others are marked in a
+  filter, which may mark too much but never too little.  Its size follows their
+  number; where it would pass ``FILTER_MOST`` bits, the texts are gone over once for each
+  range of hashes instead.
 * Marked samples travel with ``length - GRAM`` bytes on either side to a sort by
   sample.  There, strings that begin k bytes before the sample are equal if the k
   bytes before and the bytes behind are; one sorted sweep for each k finds the
   least document of each string and so the strings to remove.  The bytes
   beside the sample are compared in full, the sample itself by its 64-bit hash.
+* A sample that more than ``HOT`` documents hold would land in one task.  Its strings
+  are compared one by one instead: in a task by a sweep of their own, and of
+  each string only the least document's place travels, under a 128-bit hash of the string.
+  A string thus meets itself at most once a task and ``HELD`` samples.
 * Copies of a whole text are settled beforehand; of equal surroundings among
   ``HELD`` samples of a task only those of the least document travel for comparison.
 
+Tasks are as many as keep the samples of ``TASK_BYTES`` of text in each.
 The texts meet their marks in one join by document at the end.
 
 Defined results: null text is empty; a document without id neither removes nor loses
 anything; rows that repeat an id are no earlier than one another; texts shorter than
 ``length`` lose nothing; an empty table gives an empty result; other columns are
-not read.
+not read.  Ids are integers of any width (others are refused), and ``length`` is
+from ``GRAM`` + 1 to ``GRAM`` + 62.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tidemill.llm.common import _RADIX, _VALUES, Scratch, as_bytes, mix, small_batches
+from tidemill.llm.common import _RADIX, _VALUES, Scratch, as_bytes, mix, text_parts
 
-GRAM = 20
-#: Bits of the filter of samples that several documents hold; its size is fixed.
-FILTER_BITS = 1 << 27
+GRAM = 35
+#: Most bits of the filter of samples that several documents hold.
+FILTER_MOST = 1 << 30
 #: Whole copies that may be broadcast; with more, a join by document does the same.
 COPIES_BROADCAST = 1 << 20
-#: Bytes of text that a worker handles at once.
-CHUNK = 8 << 20
-
-_R1, _R2, _R4, _R8, _R16 = (np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8, 16))
-
-
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """64-bit hashes of every run of GRAM (20) bytes: doubled up from single bytes."""
-    h = _VALUES[raw]
-    h2 = h[:-1] * _R1 + h[1:]
-    h4 = h2[:-2] * _R2 + h2[2:]
-    h8 = h4[:-4] * _R4 + h4[4:]
-    h16 = h8[:-8] * _R8 + h8[8:]
-    n = len(raw) - GRAM + 1
-    return mix(h16[:n] * _R4 + h4[16 : 16 + n])
+#: Bytes of text whose samples a task sorts, on the average.
+TASK_BYTES = 32 << 20
+#: Documents that may hold a sample before its strings are compared one by one.
+HOT = 2048
+
+
+def gram_hashes(raw: np.ndarray, gram: int = 0) -> np.ndarray:
+    """64-bit hashes of every run of ``gram`` (GRAM) bytes: doubled up from single bytes."""
+    gram = gram or GRAM
+    step, width, out, done = _VALUES[raw], 1, None, 0
+    n = len(raw) - gram + 1
+    while True:
+        if gram & width:
+            out = step[done : done + n] if out is None else out * np.uint64(pow(int(_RADIX), width, 1 << 64)) + step[done : done + n]
+            done += width
+        if 2 * width > gram:
+            return mix(out)
+        step = step[:-width] * np.uint64(pow(int(_RADIX), width, 1 << 64)) + step[width:]
+        width *= 2
 
 
 def samples(offsets: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,74 +108,91 @@ def samples(offsets: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarr
     return place, text, hashes[place]
 
 
-def _chunks(b: pa.RecordBatch, text: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Rows of a batch in parts of about CHUNK bytes: rows, offsets, bytes."""
-    offsets, raw = as_bytes(b.column(text))
-    at = 0
-    while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-        yield slice(at, to), offsets[at : to + 1] - offsets[at], raw[offsets[at] : offsets[to]]
-        at = to
+def _top(h: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits of 64-bit hashes."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def _shared_filter(rows: DataFrame, length: int, scratch: Scratch) -> np.ndarray:
-    """Bitmap of the samples that several documents hold; each task of the sort fills a slice of its own."""
-    spark = rows.sparkSession
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = 1 << max(0, (partitions - 1).bit_length())  # a slice each
-    shift = np.uint64(48 - parts.bit_length() + 1)
+def _shared_samples(rows: DataFrame, length: int, partitions: int, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """Samples that several documents hold: (part, hashes, hot) by leading bits; the bits of a part; how many there are."""
+    bits = max(0, (partitions - 1).bit_length())
+    parts = 1 << bits
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_parts(batches, 1):
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for rows, offsets, raw in _chunks(b, 1):
-                _, text, h = samples(offsets, raw, length)
-                h = h >> np.uint64(16)  # 48 bits: two samples taken for one mark too much, never too little
-                order = np.lexsort((ids[rows][text], h))
-                h, d = h[order], ids[rows][text][order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                h = h[new]  # once for each document
-                part = (h >> shift).astype(np.int64) if parts > 1 else np.zeros(len(h), np.int64)
-                cut = np.searchsorted(part, np.arange(parts + 1))
-                full = np.flatnonzero(np.diff(cut))
-                low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16)
-                data = [[x[cut[p] : cut[p + 1]].tobytes() for p in full.tolist()] for x in (low, high)]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(x, pa.binary()) for x in data)], names=["part", "low", "high"])
+            _, text, h = samples(*as_bytes(b.column(1)), length)
+            h = h >> np.uint64(16)  # 48 bits: two samples taken for one mark too much, never too little
+            order = np.lexsort((ids[text], h))
+            h, d = h[order], ids[text][order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            h = h[new]  # once for each document
+            cut = np.searchsorted(_top(h << np.uint64(16), bits), np.arange(parts + 1))
+            full = np.flatnonzero(np.diff(cut))
+            low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16)
+            data = [[x[cut[p] : cut[p + 1]].tobytes() for p in full.tolist()] for x in (low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(x, pa.binary()) for x in data)], names=["part", "low", "high"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for p, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held.setdefault(p, []).append(np.frombuffer(low, np.uint32) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32))
-        for p in list(held):
-            h = np.sort(np.concatenate(held.pop(p)))
-            more = h[1:][h[1:] == h[:-1]]
-            bits = np.zeros(FILTER_BITS // parts, np.uint8)
-            bits[((more << np.uint64(16 + parts.bit_length() - 1)) >> np.uint64(64 - (FILTER_BITS // parts).bit_length() + 1)).astype(np.int64)] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "bits"])
-
-    packed = rows.select("doc_id", "text").mapInArrow(blocks, "part int, low binary, high binary").repartition(partitions, "part")
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    size = FILTER_BITS // parts // 8
-    for r in packed.mapInArrow(several, "part int, bits binary").toLocalIterator():  # FILTER_BITS in all
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+        for p in sorted(held):
+            h = np.sort(np.concatenate(held.pop(p))) << np.uint64(16)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.diff(np.append(first, len(h)))
+            data = [h[first[n > 1]].tobytes(), h[first[n > HOT]].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=["part", "hashes", "hot"])
+
+    packed = rows.select("doc_id", "text").mapInArrow(blocks, "part int, low binary, high binary").repartition(parts, "part")
+    found = scratch.save(packed.mapInArrow(several, "part int, hashes binary, hot binary"), "shared")
+    return found, bits, int(found.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()[0]) // 8
+
+
+def _filter(shared: DataFrame, column: str, first: int, n: int, bits: int, part_bits: int) -> np.ndarray:
+    """Bitmap of ``bits`` bits over the hashes of parts ``first`` to ``first + n``, addressed by what follows the pass's leading bits."""
+    pass_bits = part_bits - (n.bit_length() - 1)
+    own = bits.bit_length() - 1
+    out = np.zeros(bits // 8, np.uint8)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = []
+            for x in b.column(0).to_pylist():
+                at = np.unique(_top(np.frombuffer(x, np.uint64) << np.uint64(pass_bits), own))
+                data.append(at.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["places"])
+
+    rows = shared.filter((F.col("part") >= first) & (F.col("part") < first + n) & (F.octet_length(column) > 0)).select(column)
+    for r in rows.mapInArrow(places, "places binary").toLocalIterator():  # by part: what ``bits`` allows for, in all
+        at = np.frombuffer(r["places"], np.uint32)
+        np.bitwise_or.at(out, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
     return out
 
 
+def _bits_for(n: int) -> int:
+    return 1 << max(20, (16 * max(1, n) - 1).bit_length())
+
+
 MARKS = "doc_id long, tk int, place int, mask long"
 #: Marked samples that a task compares among themselves before they travel.
-HELD = 300_000
+HELD = 200_000
 
 
-def _surroundings(rows: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
-    """Marked samples with the bytes beside them; or, where a smaller id held with them has the same, their marks."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # FILTER_BITS
+def _surroundings(rows: DataFrame, marked: np.ndarray, hot: np.ndarray, first: int, pass_bits: int, length: int, partitions: int) -> DataFrame:
+    """What is to be compared, by task of the next sort: packed samples with the bytes beside them, places of hot
+    samples' strings, and marks that are settled already."""
+    shared = rows.sparkSession.sparkContext.broadcast((marked, hot))  # FILTER_MOST bits
     side = length - GRAM
-    shift = np.uint64(64 - FILTER_BITS.bit_length() + 1)
     beside = np.concatenate([np.arange(side), np.arange(side + GRAM, 2 * side + GRAM)])
 
-    def met(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def inside(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = _top((h >> np.uint64(16) << np.uint64(16)) << np.uint64(pass_bits), (8 * len(bitmap)).bit_length() - 1)
+        return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+    def settle(hot: np.ndarray, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, doc, tk, place, behind, around = (np.concatenate(x) for x in zip(*held, strict=True))
         before = np.minimum(place, side)
         kind = h.copy()
@@ -177,69 +206,92 @@ def _surroundings(rows: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame
         same = (around[order] == around[head]).all(axis=1) & (before[order] == before[head]) & (behind[order] == behind[head]) & (h[order] == h[head])
         later = np.zeros(len(order), bool)
         later[order] = same & (doc[order] > doc[head])
-        mask = np.where(later, _possible(before, behind, side), 0)
-        key = np.where(later, mix(doc.view(np.uint64)).view(np.int64), h.view(np.int64))
-        body = [None if x else a.tobytes() for x, a in zip(later.tolist(), around, strict=True)]
-        columns = [pa.array(x) for x in (key, doc, tk, place.astype(np.int32), mask, behind.astype(np.int8))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(body, pa.binary())], names=["sample", "doc_id", "tk", "place", "mask", "behind", "around"])
+        mask = np.where(later, possible(before, behind, side), 0)
+        warm = inside(hot, h)
+        own = np.flatnonzero(~later & warm)
+        if len(own):
+            found, at, k, value = strings(h[own], doc[own], before[own], behind[own], around[own], length)
+            mask[own] = found
+            yield from packed(_top(value[:, 0], 31) % partitions, 1, value, doc[own][at], tk[own][at], place[own][at], k)
+        own = np.flatnonzero(mask)
+        yield from packed(_top(mix(doc[own].view(np.uint64)), 31) % partitions, 2, doc[own], tk[own], place[own], mask[own])
+        own = np.flatnonzero(~later & ~warm)
+        yield from packed(_top(mix(h[own]), 31) % partitions, 0, h[own], doc[own], tk[own], place[own], behind[own].astype(np.int8), around[own])
+
+    def packed(task: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        if not len(task):
+            return
+        squeeze = zstandard.ZstdCompressor(level=1)
+        order = np.lexsort((columns[0] if columns[0].ndim == 1 else columns[0][:, 0], task))
+        task = task[order]
+        cut = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+        columns = tuple(c[order] for c in columns)
+        data = [squeeze.compress(b"".join([(e - s).to_bytes(8, "little"), *(c[s:e].tobytes() for c in columns)])) for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(task)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(task[cut].astype(np.int32)), pa.array(np.full(len(cut), kind, np.int8)), pa.array(data, pa.binary())], names=["task", "kind", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        marked, hot = shared.value
         held: list[tuple[np.ndarray, ...]] = []
-        for b in batches:
+        for b in text_parts(batches, 1):
             ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            for rows, offsets, raw in _chunks(b, 1):
-                place, text, h = samples(offsets, raw, length)
-                at = h >> shift
-                marked = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
-                place, text, h = place[marked], text[marked], h[marked]
-                if not len(place):
-                    continue
-                before = np.minimum(place - offsets[text], side)
-                behind = np.minimum(offsets[text + 1] - place - GRAM, side)
-                padded = np.concatenate([np.zeros(side, np.uint8), raw, np.zeros(side, np.uint8)])
-                around = padded[place[:, None] + beside[None, :]]
-                column = np.arange(2 * side)[None, :]
-                around[(column < side - before[:, None]) | (column >= side + behind[:, None])] = 0
-                held.append((h, ids[rows][text], keys[rows][text], place - offsets[text], behind, around))
-                if sum(len(x[0]) for x in held) >= HELD:
-                    yield met(held)
-                    held = []
+            offsets, raw = as_bytes(b.column(1))
+            place, text, h = samples(offsets, raw, length)
+            own = inside(marked, h) & (_top(h, pass_bits) == first)
+            place, text, h = place[own], text[own], h[own]
+            if not len(place):
+                continue
+            before = np.minimum(place - offsets[text], side)
+            behind = np.minimum(offsets[text + 1] - place - GRAM, side)
+            padded = np.concatenate([np.zeros(side, np.uint8), raw, np.zeros(side, np.uint8)])
+            around = padded[place[:, None] + beside[None, :]]
+            column = np.arange(2 * side)[None, :]
+            around[(column < side - before[:, None]) | (column >= side + behind[:, None])] = 0
+            held.append((h, ids[text], keys[text], (place - offsets[text]).astype(np.int32), behind, around))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield from settle(hot, held)
+                held = []
         if held:
-            yield met(held)
+            yield from settle(hot, held)
 
-    return rows.select("doc_id", "text", "tk").mapInArrow(run, "sample long, doc_id long, tk int, place int, mask long, behind byte, around binary")
+    return rows.select("doc_id", "text", "tk").mapInArrow(run, "task int, kind byte, block binary")
 
 
 def _weights(n: int) -> np.ndarray:
     return mix(np.arange(11, 11 + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _possible(before: np.ndarray, behind: np.ndarray, side: int) -> np.ndarray:
+def possible(before: np.ndarray, behind: np.ndarray, side: int) -> np.ndarray:
     """Bit k: the string that begins k bytes before the sample lies in the text."""
     k = np.arange(side + 1)[None, :]
     ok = (k <= before[:, None]) & (side - k <= behind[:, None])
     return (ok.astype(np.int64) << k).sum(axis=1)
 
 
+def _string_hashes(sample: np.ndarray, around: np.ndarray, own: np.ndarray, k: int, side: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes beside the sample in the strings that begin k bytes before it, and a hash of the whole strings."""
+    string = around[own, side - k : 2 * side - k]
+    value = sample[own].copy()
+    for i in range(side):
+        value = value + string[:, i] * weights[i]
+    return string, mix(value)
+
+
 def sweep(sample: np.ndarray, doc: np.ndarray, before: np.ndarray, behind: np.ndarray, around: np.ndarray, length: int) -> np.ndarray:
     """Marks of samples whose strings some smaller document has: one sorted sweep for each place of the string.
 
     ``around`` holds the bytes on either side; the sample itself is its 64-bit hash.
     """
     side = length - GRAM
-    possible = _possible(before, behind, side)
+    can = possible(before, behind, side)
     mask = np.zeros(len(doc), np.int64)
     weights = _weights(side)
     for k in range(side + 1):
-        own = np.flatnonzero(possible >> k & 1)
+        own = np.flatnonzero(can >> k & 1)
         if len(own) < 2:
             continue
-        string = around[own, side - k : 2 * side - k]
-        value = sample[own].view(np.uint64)
-        for i in range(side):
-            value = value + string[:, i] * weights[i]
-        value = mix(value)
+        string, value = _string_hashes(sample, around, own, k, side, weights)
         order = np.lexsort((doc[own], value))
         v, d = value[order], doc[own][order]
         new = np.ones(len(v), bool)
@@ -252,37 +304,91 @@ def sweep(sample: np.ndarray, doc: np.ndarray, before: np.ndarray, behind: np.nd
     return mask
 
 
-def _marks(around: DataFrame, length: int, partitions: int) -> DataFrame:
+def strings(sample: np.ndarray, doc: np.ndarray, before: np.ndarray, behind: np.ndarray, around: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The strings of hot samples.  Marks of those that a smaller document holds here, and of the others the
+    sample, the place k in the mask and a 128-bit hash: those are yet to be compared with other tasks."""
+    side = length - GRAM
+    can = possible(before, behind, side)
+    mask = np.zeros(len(doc), np.int64)
+    at, ks, values = [], [], []
+    weights, more = _weights(side), _weights(2 * side)[side:]
+    for k in range(side + 1):
+        own = np.flatnonzero(can >> k & 1)
+        if not len(own):
+            continue
+        _, value = _string_hashes(sample, around, own, k, side, weights)
+        _, second = _string_hashes(mix(sample), around, own, k, side, more)
+        order = np.lexsort((doc[own], second, value))
+        v, w, d = value[order], second[order], doc[own][order]
+        new = np.ones(len(v), bool)
+        new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+        late = d > d[head]
+        mask[own[order[late]]] |= 1 << k
+        at.append(own[order[~late]])
+        ks.append(np.full(len(at[-1]), k, np.int8))
+        values.append(np.stack([v[~late], w[~late]], 1))
+    none = np.zeros(0, np.int64)
+    return mask, np.concatenate(at) if at else none, np.concatenate(ks) if ks else none.astype(np.int8), np.concatenate(values) if values else np.zeros((0, 2), np.uint64)
+
+
+def _marks(compared: DataFrame, length: int, partitions: int) -> DataFrame:
     side = length - GRAM
+    kinds = {
+        0: [(np.uint64, 1), (np.int64, 1), (np.int32, 1), (np.int32, 1), (np.int8, 1), (np.uint8, 2 * side)],
+        1: [(np.uint64, 2), (np.int64, 1), (np.int32, 1), (np.int32, 1), (np.int8, 1)],
+        2: [(np.int64, 1), (np.int32, 1), (np.int32, 1), (np.int64, 1)],
+    }
+
+    def unpacked(kind: int, data: bytes) -> list[np.ndarray]:
+        n, at, out = int.from_bytes(data[:8], "little"), 8, []
+        for t, width in kinds[kind]:
+            x = np.frombuffer(data, t, n * width, at)
+            at += x.nbytes
+            out.append(x if width == 1 else x.reshape(n, width))
+        return out
+
+    def answer(doc: np.ndarray, tk: np.ndarray, place: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+        own = mask != 0
+        return pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (doc, tk, place, mask)], names=["doc_id", "tk", "place", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def judged(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            sample, doc, tk, place, mask, behind = (t.column(i).to_numpy() for i in range(6))
-            mask = mask.copy()
-            open_ = np.flatnonzero(mask == 0)
-            if len(open_):
-                _, raw = as_bytes(t.column(6).combine_chunks().take(pa.array(open_)))
-                mask[open_] = sweep(sample[open_], doc[open_], np.minimum(place[open_], side).astype(np.int64), behind[open_].astype(np.int64), raw.reshape(-1, 2 * side), length)
-            found = mask != 0
-            return pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (doc, tk, place, mask)], names=["doc_id", "tk", "place", "mask"])
+        import zstandard
 
+        open_ = zstandard.ZstdDecompressor()
+        held: dict[tuple[int, int], list[list[np.ndarray]]] = {}
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            sample = t.column(0).to_numpy()
-            cut = int(np.searchsorted(sample, sample[-1])) if len(sample) else 0  # the last sample may go on
-            if cut >= 20_000:
-                yield judged(t.slice(0, cut))
-                t = t.slice(cut)
-            rest = t
-        if rest is not None and rest.num_rows:
-            yield judged(rest)
-
-    dealt = around.repartition(partitions, "sample").sortWithinPartitions("sample")
-    return dealt.mapInArrow(run, MARKS)
+            for task, kind, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = unpacked(kind, open_.decompress(block))
+                if kind == 2:
+                    yield answer(*own)
+                else:
+                    held.setdefault((task, kind), []).append(own)
+        for key in sorted(held):
+            columns = [np.concatenate(x) for x in zip(*held.pop(key), strict=True)]
+            if key[1] == 0:
+                h, doc, tk, place, behind, around = columns
+                order = np.argsort(h, kind="stable")
+                sample = h[order]
+                at = 0
+                while at < len(order):  # whole samples, some 50,000 rows at once
+                    to = min(len(order), at + 50_000)
+                    to = int(np.searchsorted(sample, sample[to - 1], side="right"))
+                    own = order[at:to]
+                    mask = sweep(h[own], doc[own], np.minimum(place[own], side).astype(np.int64), behind[own].astype(np.int64), around[own], length)
+                    yield answer(doc[own], tk[own], place[own], mask)
+                    at = to
+            else:
+                value, doc, tk, place, k = columns
+                order = np.lexsort((doc, value[:, 1], value[:, 0]))
+                v, d = value[order], doc[order]
+                new = np.ones(len(v), bool)
+                new[1:] = (v[1:] != v[:-1]).any(axis=1)
+                head = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+                mask = np.where(d > d[head], np.int64(1) << k[order].astype(np.int64), 0)
+                yield answer(d, tk[order], place[order], mask)
+
+    return compared.repartition(partitions, "task").mapInArrow(run, MARKS)
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
@@ -301,22 +407,37 @@ def _packed(keyed: DataFrame) -> DataFrame:
 
 def removals(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans and ``kept``: the bytes that stay."""
-    small_batches(spark)
+    if not GRAM < length <= GRAM + 62:
+        raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 62}")
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError("doc_id must be an integer")
     scratch = Scratch(spark, "substrings")
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.withColumn("tk", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    names = keyed.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "tk", F.unhex(F.sha2("text", 256)).alias("whole"))
+    names = keyed.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "tk", F.octet_length("text").cast("long").alias("size"), F.unhex(F.sha2("text", 256)).alias("whole"))
     names = scratch.save(names, "names")
+    total = int(names.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
     least = scratch.save(names.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "least")
     copies = names.join(least, "whole").filter(F.col("doc_id") > F.col("least")).select("doc_id", "tk", F.lit(True).alias("copy")).distinct()
     copies = scratch.save(copies, "copies")
+    scratch.drop("names", "least")
     few = copies.count() <= COPIES_BROADCAST
-    marked = keyed.join(F.broadcast(copies) if few else copies, ["doc_id", "tk"], "left")
-    rows = marked.filter(F.col("copy").isNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    bitmap = _shared_filter(rows, length, scratch)
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marks = _marks(_surroundings(rows, bitmap, length), length, partitions)
-    marks = marks.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
+    settled = keyed.join(F.broadcast(copies) if few else copies, ["doc_id", "tk"], "left")
+    rows = settled.filter(F.col("copy").isNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    shared, part_bits, n = _shared_samples(rows, length, partitions, scratch)
+    pass_bits = min(part_bits, max(0, (_bits_for(n) // FILTER_MOST).bit_length() - 1))
+    own = 1 << (part_bits - pass_bits)  # parts of a pass
+    marks = None
+    for p in range(1 << pass_bits):
+        marked = _filter(shared, "hashes", p * own, own, min(FILTER_MOST, _bits_for(n >> pass_bits)), part_bits)
+        hot = _filter(shared, "hot", p * own, own, 1 << 20, part_bits)
+        more = _marks(_surroundings(rows, marked, hot, p, pass_bits, length, partitions), length, partitions)
+        more = scratch.save(more, f"marks-{p}")
+        marks = more if marks is None else marks.unionByName(more)
+    scratch.drop("shared")
+    marks = marks.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))  # bounded by the document
     marks = marks.unionByName(copies.select("doc_id", "tk", F.array(F.struct(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("mask"))).alias("marks")))
     both = _packed(keyed).join(marks.hint("shuffle_hash"), ["doc_id", "tk"], "left").select("doc_id", "packed", "marks")
 
@@ -342,7 +463,8 @@ def removals(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFram
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans string, kept binary")
+    out = both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans string, kept binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def covered(place: np.ndarray, mask: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
@@ -359,24 +481,3 @@ def covered(place: np.ndarray, mask: np.ndarray, size: int, length: int) -> list
     inside = np.cumsum(depth[:size]) > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-
-
-def reference_rows(rows: list[tuple[int, str | None]], length: int = 50) -> dict[int, tuple[int, int, int, str]]:
-    """The contract by brute force; for tests."""
-    least: dict[bytes, int] = {}
-    for i, t in rows:
-        data = (t or "").encode()
-        for p in range(len(data) - length + 1):
-            s = data[p : p + length]
-            least[s] = min(least.get(s, i), i)
-    out = {}
-    for i, t in rows:
-        data = (t or "").encode()
-        gone = bytearray(len(data))
-        for p in range(len(data) - length + 1):
-            if least[data[p : p + length]] < i:
-                gone[p : p + length] = b"\1" * length
-        runs = sum(1 for p in range(len(data)) if gone[p] and (p == 0 or not gone[p - 1]))
-        kept = bytes(c for c, g in zip(data, gone, strict=True) if not g)
-        out[i] = (len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest())
-    return out

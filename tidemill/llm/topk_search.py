@@ -12,7 +12,8 @@ computed exactly.  Bounds are widened by a rounding margin, so none is lost.
 
 Queries go out in blocks of bounded size (``query_block`` vectors), each against
 every candidate where it lies: no pair is ever a row.  A task sends k rows a query;
-these meet in one aggregation by query.  Results are checked with integers: sums
+these meet in one aggregation by query.  Components too large for that are summed
+as whole numbers, and again only the k best of a query leave a task.  Results are checked with integers: sums
 that 64-bit floats hold exactly, or Python integers where components are larger.
 
 Defined results: vectors that are null or hold a null or non-finite component take
@@ -101,7 +102,7 @@ def best_of_block(queries, ids, vectors, k: int, floor: np.ndarray):
 
 def keep_best(q, ids, scores, k: int):
     """The k best rows of each query number: highest score, then smallest id."""
-    order = np.lexsort((ids, -scores, q))
+    order = np.lexsort((ids, ~scores if scores.dtype == np.int64 else -scores, q))
     q, ids, scores = q[order], ids[order], scores[order]
     starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
     rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
@@ -150,7 +151,8 @@ def _one_block(spark: SparkSession, rows: DataFrame, queries: pa.Table, dim: int
         floor = np.full(len(q_ids), -np.inf)
         best = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
         wide = float(np.abs(q).max(initial=0))
-        big = []
+        large = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        exact = np.array([[int(x) for x in row] for row in q], object).reshape(q.shape) if len(q) else q
         for b in batches:
             ids = b.column(0).to_numpy()
             at, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
@@ -159,8 +161,11 @@ def _one_block(spark: SparkSession, rows: DataFrame, queries: pa.Table, dim: int
                 part = right[i : i + 1024]
                 v = np.floor(256.0 * flat[at[part][:, None] + np.arange(dim)[None, :]])
                 huge = np.abs(v).max(axis=1, initial=0) * wide * max(dim, 1) >= EXACT
-                for j in np.flatnonzero(huge):
-                    big.append((int(ids[part[j]]), [int(x) for x in v[j]]))
+                for j in np.flatnonzero(huge).tolist():  # components so large that only whole numbers are exact
+                    score = exact @ np.array([int(x) for x in v[j]], object) if dim else np.zeros(len(q), object)
+                    other = np.flatnonzero(q_ids != ids[part[j]])
+                    score = np.array([int(score[i]) for i in other], np.int64)  # past 64 bits: an error
+                    large = keep_best(np.concatenate([large[0], other]), np.concatenate([large[1], np.full(len(other), ids[part[j]])]), np.concatenate([large[2], score]), k)
                 part, v = part[~huge], v[~huge]
                 if not len(part):
                     continue
@@ -171,10 +176,7 @@ def _one_block(spark: SparkSession, rows: DataFrame, queries: pa.Table, dim: int
                     ends = np.searchsorted(best[0], full, side="right") - 1
                     floor[full] = np.maximum(floor[full], best[2][ends])
         yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[1]), pa.array(best[2].astype(np.int64))], names=["query_id", "vec_id", "score"])
-        for i, v in big:  # components so large that only whole numbers are exact
-            exact = [sum(x * int(y) for x, y in zip(v, row, strict=True)) for row in q]
-            keep = q_ids != i
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[keep]), pa.array([i] * int(keep.sum()), pa.int64()), pa.array([e for e, x in zip(exact, keep, strict=True) if x], pa.int64())], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[large[0]]), pa.array(large[1]), pa.array(large[2])], names=["query_id", "vec_id", "score"])
 
     found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
