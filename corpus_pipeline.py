@@ -4,7 +4,10 @@ Each stage works on all that its predecessor kept; its output is written as Parq
 and read again as the next one's documents.  All but the last return the columns of
 ``documents``.
 
-1. ``language_id`` drops documents of which no language can be told (``und``).
+1. ``language_id`` drops documents of which no language can be told: those without
+   letters, and those that no language known explains (under ``EXPLAINED`` letters a
+   phrase of the best one).  Where ``lang`` is null, the language told is filled in.
+   Without any labelled row there is nothing to tell languages by, and the stage fails.
 2. ``line_dedup`` drops lines that five documents share from all but the last one.
 3. ``jaccard_join`` keeps one document of each group of near copies (five-word
    shingles, similarity of 0.8 or more).
@@ -22,33 +25,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from tidemill.llm.common import Scratch
+from tidemill.llm.common import Scratch, mark, sweep
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: No SQL for tokenisation and best fit; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
+#: Letters that a phrase of the cross-parse must have on the average.
+EXPLAINED = 1.5
+_scratch_from: list[int] = []
+
+
+def _begin(spark: SparkSession) -> None:
+    """What the stage before has left goes: its output was written before this one began."""
+    if _scratch_from:
+        sweep(spark, _scratch_from.pop())
+    _scratch_from.append(mark())
+
+
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     docs = docs.select(COLUMNS)
-    labelled = language_id.label(docs, language_id.fit(docs))
-    return labelled.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(COLUMNS)
+    model = language_id.fit(docs)
+    if not model.languages and not docs.isEmpty():
+        raise ValueError("no row of the documents has a language to learn from")
+    labelled = language_id.label(docs, model)
+    told = labelled.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("phrase_letters") >= EXPLAINED))
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     out = line_dedup.dedup_lines(spark, docs.select(COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
 def _jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     return jaccard_join.keep_one(spark, docs.select(COLUMNS), k=5, percent=80)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     return decontaminate.clean(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     import public_tokenizers
 
     return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -71,4 +95,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.save(docs, f"{k}-{name}")
+            if k:
+                scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
