@@ -21,6 +21,33 @@ def phrases(train, text):
     return n
 
 
+def test_long_texts_are_parsed_whole():
+    texts = {k: prose(k, 400) for k in SYLLABLES}
+    m = L.Model(texts)
+    mixed = lambda n: " ".join(prose(RNG.choice(list(SYLLABLES)), 3) for _ in range(n))
+    given = [mixed(500)[:5000], mixed(6000)[:50_000], "".join(RNG.choice("abc ωtru") for _ in range(9000)), texts["aa"] * 3, "a" * 5000, "ω" * 3000, ""]
+    cost, _ = m.costs(given, m.fold_table())
+    for t, row in zip(given, cost, strict=True):
+        plain = L.folded(t)
+        while "  " in plain:
+            plain = plain.replace("  ", " ")
+        for k, lang in enumerate(m.languages):
+            train = " ".join(L.folded(texts[lang]).split())[: L.TRAIN_CHARS]
+            known = set(train)
+            assert round(row[k] / m.bits[k]) == phrases(train, "".join(c if c in known or c == " " else "\0" for c in plain))
+
+
+def test_ties_go_to_the_first_language():
+    m = L.Model({"b": "lorem ipsum dolor", "a": "lorem ipsum dolor"})
+    cost, _ = m.costs(["lorem dolor sit"], m.fold_table())
+    assert cost[0, 0] == cost[0, 1] and m.languages[cost.argmin()] == "a"
+
+
+def test_many_letters_make_no_large_table():
+    m = L.Model({"zh": "".join(chr(0x4E00 + RNG.randrange(4000)) for _ in range(20_000)), "en": prose("aa", 2000)})
+    assert m.alphabet > 3000 and sum(x.nbytes for a in m.automata for x in (a.owner, a.next)) < 4 << 20
+
+
 def test_costs_are_those_of_plain_cross_parsing():
     texts = {k: prose(k, 60) for k in SYLLABLES}
     m = L.Model(texts)

@@ -64,7 +64,7 @@ def test_unexplained_texts_go_and_missing_labels_are_filled_in(spark, tmp_path):
 
 
 def test_repeated_ids_and_empty_benchmark(spark, tmp_path):
-    rows = [(i // 2, " ".join(prose(30))) for i in range(12)] + [(7, "word " * 30_000 + " ".join(prose(5)))]
+    rows = [(i // 2, " ".join(prose(30))) for i in range(12)] + [(7, " ".join(prose(30) * 1000))]
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()

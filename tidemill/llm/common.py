@@ -13,7 +13,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
-_roots: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,7 +36,6 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -74,20 +72,6 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def sweep(spark: SparkSession, before: int) -> None:
-    """Delete all scratch folders but the first ``before``: their readers are done."""
-    conf = spark._jsc.hadoopConfiguration()
-    for root in _roots[before:]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
-    del _roots[before:]
-
-
-def mark() -> int:
-    """A place in the list of scratch folders, for ``sweep``."""
-    return len(_roots)
-
-
 #: Bytes of text that a worker handles at once.
 PART_BYTES = 4 << 20
 

@@ -43,7 +43,7 @@ TRAIN_CHARS = 60_000
 #: Rows a language that may be looked at to get them.
 TRAIN_ROWS = 400
 #: Symbols of a text that are parsed in one go before its other segments are joined; no result depends on it.
-SEGMENT = 1024
+SEGMENT = 512
 UNDETERMINED = "und"
 
 
@@ -53,11 +53,12 @@ def folded(text: str) -> str:
 
 
 class Automaton:
-    """The suffix automaton of a symbol sequence as a double array: state 0 is the root.
+    """The suffix automaton of a symbol sequence as a double array.
 
-    The edge of state s by symbol c is the cell at ``base[s] + c``, if that cell
-    bears the mark of s; a cell holds its state's mark in the upper half and the
-    target in the lower.
+    A state is the offset of its edges in two common tables: its edge by symbol c leads
+    to ``next[state + c]``, if ``owner[state + c]`` is the state itself.  State 0, the
+    root, has no edges there; ``start[c]`` is where a new phrase that begins with c
+    leads, which is 0 again if no phrase does.
     """
 
     def __init__(self, symbols: list[int], alphabet: int):
@@ -87,64 +88,59 @@ class Automaton:
                     link[q] = link[new] = copy
             last = new
         self.size = len(symbols)
-        self.base, self.cells = double_array(edges, alphabet)
-
-    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The states that the edges lead to, -1 without an edge."""
-        cell = self.cells[self.base[state] + symbol]
-        return np.where(cell >> 32 == state, cell & 0xFFFFFFFF, -1)
-
-
-def double_array(edges: list[dict[int, int]], alphabet: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets by state and the common table of cells."""
-    base = np.zeros(len(edges), np.int64)
-    used = bytearray(2 * sum(map(len, edges)) + (len(edges) + 2) * 2 + 4 * alphabet)
-    front = alphabet
-    for s in sorted((s for s, e in enumerate(edges) if len(e) > 1), key=lambda s: -len(edges[s])):
-        symbols = sorted(edges[s])
-        at = max(0, front - symbols[0] - 24)  # a hole behind the front, if one fits
-        while any(used[at + c] for c in symbols):
+        self.start, self.owner, self.next = double_array(edges, alphabet)
+
+
+def double_array(edges: list[dict[int, int]], alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where phrases begin by symbol, and the tables of owners and targets; state 0 of ``edges`` is the root."""
+    size = 2 * sum(map(len, edges)) + 4 * alphabet
+    base, used, taken = [0] * len(edges), bytearray(size), bytearray(size)
+    taken[0] = 1
+    low = 1
+    for s in sorted(range(1, len(edges)), key=lambda s: -len(edges[s])):
+        own = edges[s]
+        at = low
+        while taken[at] or any(used[at + c] for c in own):
             at += 1
-        if at + symbols[-1] + alphabet >= len(used):
-            used += bytearray(len(used))
-        for c in symbols:
+        low = max(low, at - 32)  # holes further back are left
+        if at + 2 * alphabet >= len(used):
+            used, taken = used + bytearray(len(used)), taken + bytearray(len(taken))
+        taken[at] = 1
+        for c in own:
             used[at + c] = 1
         base[s] = at
-        front = max(front, at + symbols[0] + 1)
-    single = [s for s, e in enumerate(edges) if len(e) == 1]
-    free = np.flatnonzero(np.frombuffer(used, np.uint8)[alphabet:] == 0) + alphabet
-    if len(free) < len(single):
-        free = np.concatenate([free, np.arange(len(used), len(used) + len(single))])
-    base[single] = free[: len(single)] - np.fromiter((c for s in single for c in edges[s]), np.int64, len(single))
-    owner = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
-    symbol = np.fromiter((c for e in edges for c in e), np.int64, len(owner))
-    target = np.fromiter((t for e in edges for t in e.values()), np.int64, len(owner))
-    place = base[owner] + symbol
-    cells = np.full(int(max(place.max(initial=0), base.max(initial=0)) + alphabet + 1), -1, np.int64)
-    cells[place] = owner << 32 | target
-    return base, cells
-
-
-def parse(a: Automaton, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Parse segments side by side from the root; longest first.  Marks in ``begins`` where phrases begin; the states at the end."""
-    begins[start[length > 0]] = True
-    state = np.zeros(len(start), np.int64)
-    steps = int(length[0]) if len(length) else 0
-    live = np.searchsorted(-length, -np.arange(steps), side="left")  # segments longer than the step
+    top = max(base) + alphabet + 1
+    owner, target = np.full(top, -1, np.int32), np.zeros(top, np.int32)
+    of = np.array(base, np.int64)
+    state = np.repeat(np.arange(1, len(edges)), [len(e) for e in edges[1:]])
+    place = of[state] + np.fromiter((c for e in edges[1:] for c in e), np.int64, len(state))
+    owner[place] = of[state]
+    target[place] = of[np.fromiter((t for e in edges[1:] for t in e.values()), np.int64, len(state))]
+    start = np.zeros(alphabet, np.int32)
+    start[list(edges[0])] = of[list(edges[0].values())]
+    return start, owner, target
+
+
+def parse(a: Automaton, symbols: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parse segments side by side from the root: a column each, of which the first ``live[t]`` have a symbol in row t.
+
+    Returns where phrases begin, in the same layout, and the states at the ends.
+    """
+    steps, lanes = symbols.shape
+    begins, state = np.zeros(symbols.shape, bool), np.zeros(lanes, np.int32)
+    fresh = a.start[symbols]
+    place, owner, to, on = np.empty(lanes, np.int64), np.empty(lanes, np.int32), np.empty(lanes, np.int32), np.empty(lanes, bool)
     for t in range(steps):
         n = live[t]
-        at = start[:n] + t
-        c = symbols[at]
-        to = a.follow(state[:n], c)
-        stuck = np.flatnonzero(to < 0)
-        if len(stuck):  # a match ends here; the symbol begins the next, or is a phrase of its own
-            begins[at[stuck]] = True
-            again = a.follow(np.zeros(len(stuck), np.int64), c[stuck])
-            alone = again < 0
-            begins[at[stuck[alone]] + 1] = True
-            to[stuck] = np.where(alone, 0, again)
-        state[:n] = to
-    return state
+        now = state[:n]
+        np.add(now, symbols[t, :n], out=place[:n])
+        np.take(a.owner, place[:n], out=owner[:n], mode="clip")
+        np.take(a.next, place[:n], out=to[:n], mode="clip")
+        np.equal(owner[:n], now, out=on[:n])
+        np.logical_not(on[:n], out=begins[t, :n])  # the match ends; the symbol begins the next, or is a phrase of its own
+        np.copyto(now, fresh[t, :n])
+        np.copyto(now, to[:n], where=on[:n])
+    return begins, state
 
 
 def joined(a: Automaton, symbols: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,29 +152,27 @@ def joined(a: Automaton, symbols: np.ndarray, start: np.ndarray, end: np.ndarray
     lane, at, state = np.arange(len(start)), start.copy(), state.copy()
     while len(lane):
         c = symbols[at]
-        to = a.follow(state, c)
-        fresh = (to < 0) | (state == 0)
+        place = state + c
+        fresh = a.owner[place] != state
         done = fresh & begins[at]
         met[lane[done]] = at[done]
         more[lane[fresh & ~done]] += 1
-        to = np.where(fresh, a.follow(np.zeros(len(c), np.int64), c), to)
         go = ~done & (at + 1 < end[lane])
-        lane, at, state = lane[go], at[go] + 1, np.maximum(to[go], 0)
+        state = np.where(fresh, a.start[c], a.next[place])[go]
+        lane, at = lane[go], at[go] + 1
     return met, more
 
 
 def phrases_of(a: Automaton, symbols: list[int]) -> int:
     """The phrases of one text, symbol by symbol."""
-    base, cells = a.base, a.cells
+    owner, to, start = a.owner, a.next, a.start.tolist()
     state = n = 0
     for c in symbols:
-        cell = int(cells[base[state] + c])
-        if state and cell >> 32 == state:
-            state = cell & 0xFFFFFFFF
-            continue
-        n += 1
-        cell = int(cells[base[0] + c])
-        state = cell & 0xFFFFFFFF if cell >> 32 == 0 else 0
+        if state and owner[state + c] == state:
+            state = int(to[state + c])
+        else:
+            n += 1
+            state = start[c]
     return n
 
 
@@ -223,12 +217,19 @@ class Model:
         start = begin[owner] + nth * SEGMENT
         length = np.minimum(SEGMENT, sizes[owner] - nth * SEGMENT)
         order = np.argsort(-length, kind="stable")
+        steps = int(length.max(initial=0))
+        live = np.searchsorted(-length[order], -np.arange(steps), side="left")  # segments longer than the step
+        place = start[order][None, :] + np.arange(steps)[:, None]
+        inside = np.arange(len(order))[None, :] < live[:, None]
+        grid = symbols[np.where(inside, place, 0)] if len(symbols) else np.zeros(place.shape, np.int64)
         behind = np.flatnonzero(nth > 0)  # segments that another one of their text precedes
         out = np.zeros((len(texts), len(self.automata)))
         for k, a in enumerate(self.automata):
-            begins = np.zeros(len(symbols) + 1, bool)
-            state = np.empty(len(owner), np.int64)
-            state[order] = parse(a, symbols, start[order], length[order], begins)
+            marks, ends = parse(a, grid, live)
+            begins = np.zeros(len(symbols), bool)
+            begins[place[inside]] = marks[inside]
+            state = np.empty(len(owner), np.int32)
+            state[order] = ends
             count = np.concatenate([[0], np.cumsum(begins)])
             phrases = count[start + length] - count[start]
             if len(behind):
@@ -236,7 +237,8 @@ class Model:
                 met, more = joined(a, symbols, start[behind], end, state[behind - 1], begins)
                 phrases[behind] = count[end] - count[np.where(met < 0, end, met)] + more
                 total = np.bincount(owner, phrases, len(texts))
-                for i in np.unique(owner[behind[met < 0]]).tolist():
+                lost = behind[(met < 0) & (nth[behind] < parts[owner[behind]] - 1)]  # in a text's last segment the parse just ends
+                for i in np.unique(owner[lost]).tolist():
                     total[i] = phrases_of(a, symbols[begin[i] : begin[i] + sizes[i]].tolist())
             else:
                 total = np.bincount(owner, phrases, len(texts))
