@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from tidemill.llm.common import Scratch, mark, sweep
+from tidemill.llm.common import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: No SQL for tokenisation and best fit; tests hold the pipeline against brute force.
@@ -33,19 +33,10 @@ ORACLE_SQL = None
 
 
 #: Letters that a phrase of the cross-parse must have on the average.
-EXPLAINED = 1.5
-_scratch_from: list[int] = []
-
-
-def _begin(spark: SparkSession) -> None:
-    """What the stage before has left goes: its output was written before this one began."""
-    if _scratch_from:
-        sweep(spark, _scratch_from.pop())
-    _scratch_from.append(mark())
+EXPLAINED = 1.25
 
 
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
     docs = docs.select(COLUMNS)
     model = language_id.fit(docs)
     if not model.languages and not docs.isEmpty():
@@ -56,23 +47,19 @@ def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
     out = line_dedup.dedup_lines(spark, docs.select(COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
 def _jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
     return jaccard_join.keep_one(spark, docs.select(COLUMNS), k=5, percent=80)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
     return decontaminate.clean(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
     import public_tokenizers
 
     return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
