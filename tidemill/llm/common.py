@@ -73,7 +73,7 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
 
 
 #: Bytes of text that a worker handles at once.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 def text_parts(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = PART_BYTES, rows: int = 1000) -> Iterator[pa.RecordBatch]:
