@@ -139,3 +139,24 @@ def test_partition_projection():
     assert P.partition_filter(P.Leaf("=", "x", 34), spec) == P.And(P.Leaf("=", "b", 3), P.Leaf("=", "t", 30))
     assert P.partition_filter(P.Not(P.Leaf("=", "x", 34)), spec) == P.TRUE
     assert P.partition_filter(P.And(P.Leaf("<", "x", 25), P.Leaf("in", "y", (1,))), spec) == P.And(P.Leaf("<=", "t", 20), P.Leaf("in", "i", (1,)))
+
+
+def test_deletion_vectors_round_trip_and_runs():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from tidemill.sources import lakehouse as lh
+
+    rng = np.random.default_rng(1)
+    for p in ([], [0], [7, 65535, 65536, 1 << 33], rng.integers(0, 1 << 20, 9000), np.arange(100_000)):
+        want = np.unique(np.asarray(p, np.int64))
+        assert (lh.decode_deletion_vector(lh.encode_deletion_vector(want)) == want).all()
+    body = struct.pack("<iQ", lh._DV_MAGIC, 1) + struct.pack("<II", 0, lh._RUNS) + b"\x01" + struct.pack("<HH", 0, 9) + struct.pack("<HHHHH", 2, 5, 3, 20, 5)
+    blob = struct.pack(">i", len(body)) + body + struct.pack(">I", zlib.crc32(body))
+    assert lh.decode_deletion_vector(blob).tolist() == [*range(5, 9), *range(20, 26)]
+    import pytest
+
+    with pytest.raises(ValueError, match="deletion vector"):
+        lh.decode_deletion_vector(blob[:-1] + b"x")

@@ -24,21 +24,21 @@ def both(spark, sql, name):
 
 
 def test_snapshots(spark, sql):
-    assert both(spark, sql, "l1_snapshot_as_of_whole")["snapshot_id"].tolist() == [514]
-    assert both(spark, sql, "l10_snapshot_expiry_whole")["snapshot_id"].max() > 400
+    assert both(spark, sql, "l1_snapshot_as_of")["snapshot_id"].tolist() == [514]
+    assert both(spark, sql, "l10_snapshot_expiry")["snapshot_id"].max() > 400
     both(spark, sql, "l2_snapshots_between")
 
 
 def test_applicable_deletes(spark, sql):
-    assert len(both(spark, sql, "l5_applicable_deletes_whole")) > 50_000
+    assert len(both(spark, sql, "l5_applicable_deletes")) > 50_000
 
 
 def test_set_difference(spark, sql):
-    assert both(spark, sql, "o4_set_difference_whole").empty
+    assert both(spark, sql, "o4_set_difference").empty
 
 
 def test_sort_order(spark, sql):
-    assert both(spark, sql, "o1_sort_order_whole")["rank"].max() == 15_000
+    assert both(spark, sql, "o1_sort_order")["rank"].max() == 15_000
 
 
 def test_numbered_gives_every_row_its_rank(spark):
@@ -58,10 +58,10 @@ def test_numbered_gives_every_row_its_rank(spark):
 
 
 def test_sessions_touch(spark, sql):
-    assert both(spark, sql, "w7_sessions_touch_whole")["a_id"].min() < 900
+    assert both(spark, sql, "w7_sessions_touch")["a_id"].min() < 900
 
 
-@pytest.mark.parametrize(("name", "n"), [("j7_foreign_key_inner_whole", 15_000), ("j8_foreign_key_left_whole", 15_000), ("j9_global_inner_whole", 1500), ("j10_global_left_whole", 1500), ("s7_backfill_whole", 150)])
+@pytest.mark.parametrize(("name", "n"), [("j7_foreign_key_inner", 15_000), ("j8_foreign_key_left", 15_000), ("j9_global_inner", 1500), ("j10_global_left", 1500), ("s7_backfill", 150)])
 def test_joins_and_backfill(spark, sql, name, n):
     assert len(both(spark, sql, name)) == n
 
@@ -69,5 +69,5 @@ def test_joins_and_backfill(spark, sql, name, n):
 def test_backfill_has_no_gap_before_its_tail(spark, tmp_path):
     rows = [(1, "a", 100), (1, "b", 450), (2, "c", 700)]
     spark.createDataFrame(rows, "user_id long, event_type string, event_id long").write.parquet(str(tmp_path / "events.parquet"))
-    got = registry.queries()["s7_backfill_whole"](spark, str(tmp_path)).select("user_id", "event_type", "event_id").collect()
+    got = registry.queries()["s7_backfill"](spark, str(tmp_path)).select("user_id", "event_type", "event_id").collect()
     assert sorted(map(tuple, got)) == [(1, "b", -1), (2, "c", 700)]

@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The public constants of Murmur3 for 32 bits.
@@ -138,3 +138,36 @@ def upper_bound(value, width: int):
 def metrics_mode(column: str, default: str = "truncate(16)", overrides: dict[str, str] | None = None) -> str:
     """none, counts, truncate(n) or full; a column's own setting comes first."""
     return (overrides or {}).get(column, default)
+
+
+def truncated_bounds(column: Column, width: int) -> tuple[Column, Column]:
+    """Lower and upper bound of a string column's values, cut to a width; null where no upper one exists."""
+
+    @F.pandas_udf("string")
+    def upper(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else upper_bound(x, width))
+
+    return F.substring(column, 1, width), upper(column)
+
+
+def column_metrics(df: DataFrame, default: str = "truncate(16)", overrides: dict[str, str] | None = None) -> DataFrame:
+    """(column, n, low, high) of each column as its metrics mode allows: a column in mode none has no row."""
+    rows = []
+    for c in df.columns:
+        mode = metrics_mode(c, default, overrides)
+        if mode == "none":
+            continue
+        low, high = F.min(c).cast("string"), F.max(c).cast("string")
+        if mode == "counts":
+            low = high = F.lit(None).cast("string")
+        elif m := re.fullmatch(r"truncate\((\d+)\)", mode):
+            if df.schema[c].dataType.simpleString() == "string":
+                low, high = F.substring(low, 1, int(m[1])), F.concat(F.lit(f"{int(m[1])}:"), high)
+        rows.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("n"), low.alias("low"), high.alias("high")))
+    out = df.agg(F.array(*rows).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+
+    @F.pandas_udf("string")
+    def cut(s: pd.Series) -> pd.Series:  # a row a column
+        return s.map(lambda x: upper_bound(x.split(":", 1)[1], int(x.split(":", 1)[0])) if x is not None and re.match(r"\d+:", x) else x)
+
+    return out.withColumn("high", cut("high"))

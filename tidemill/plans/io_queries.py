@@ -134,12 +134,6 @@ def a9(s, d):
     return table(s, d, "lineitem").agg(F.count("*").alias("n"), F.max("l_orderkey").alias("high"))
 
 
-@query("w7_sessions_touch", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_id >= 900 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600000000")
-def w7(s, d):
-    """Over the events from 900 on, as its SQL says; w7_sessions_touch_whole takes all."""
-    return touching(table(s, d, "events").filter("event_id >= 900"))
-
-
 def touching(events):
     from tidemill.operators import windows
 
@@ -150,8 +144,8 @@ def touching(events):
     return a.join(b, on & hit).select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"))
 
 
-@query("w7_sessions_touch_whole", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600000000")
-def w7_whole(s, d):
+@query("w7_sessions_touch", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600000000")
+def w7(s, d):
     return touching(table(s, d, "events"))
 
 

@@ -19,10 +19,7 @@ def file_stats(s, d):
     return o.withColumn("file_path", F.concat(F.lit("f"), F.col("g").cast("string"))).withColumn("k_nans", F.lit(0))
 
 
-_SNAPSHOTS = "(SELECT event_id AS snapshot_id, CASE WHEN event_id > 0 THEN event_id - 1 END AS parent_id, ts FROM events WHERE event_id < 400)"
-
-
-_ALL_SNAPSHOTS = "(SELECT event_id AS snapshot_id, CASE WHEN event_id > 0 THEN event_id - 1 END AS parent_id, ts FROM events)"
+_SNAPSHOTS = "(SELECT event_id AS snapshot_id, CASE WHEN event_id > 0 THEN event_id - 1 END AS parent_id, ts FROM events)"
 
 
 def snapshots(s, d):
@@ -37,14 +34,8 @@ def entries(s, d):
     return table(s, d, "events").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file_path"), F.floor(F.col("event_id") / 10).cast("long").alias("snapshot_id"), status.alias("status"), F.col("user_id").alias("record_count"))
 
 
-@query("l1_snapshot_as_of", f"SELECT * FROM {_SNAPSHOTS} WHERE ts <= TIMESTAMP '2024-01-02 12:00:00' ORDER BY ts DESC LIMIT 1")
+@query("l1_snapshot_as_of", f"SELECT * FROM {_SNAPSHOTS} WHERE ts <= TIMESTAMP '2024-01-02 12:00:00' ORDER BY ts DESC, snapshot_id DESC LIMIT 1")
 def l1(s, d):
-    """Over the first 400 snapshots, as its SQL says; l1_snapshot_as_of_whole takes all."""
-    return lakehouse.as_of(snapshots(s, d).filter("snapshot_id < 400"), F.expr("TIMESTAMP_NTZ '2024-01-02 12:00:00'"))
-
-
-@query("l1_snapshot_as_of_whole", f"SELECT * FROM {_ALL_SNAPSHOTS} WHERE ts <= TIMESTAMP '2024-01-02 12:00:00' ORDER BY ts DESC, snapshot_id DESC LIMIT 1")
-def l1_whole(s, d):
     return lakehouse.as_of(snapshots(s, d), F.expr("TIMESTAMP_NTZ '2024-01-02 12:00:00'"))
 
 
@@ -65,14 +56,6 @@ def l4(s, d):
     return parts.filter(P.to_column(P.partition_filter(P.Leaf("<", "o_orderkey", 333), {"k_trunc": ("o_orderkey", "truncate[100]")}))).select("o_orderkey")
 
 
-@query("l5_applicable_deletes", """WITH f AS (SELECT 'd' || event_id AS file_path, user_id AS part, event_id AS seq FROM events WHERE event_id < 300 AND event_type <> 'error'),
-    x AS (SELECT 'x' || event_id AS delete_path, user_id AS part, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'position' ELSE 'equality' END AS kind FROM events WHERE event_id < 300 AND event_type = 'error')
-    SELECT file_path, delete_path, kind FROM f JOIN x USING (part) WHERE CASE WHEN kind = 'position' THEN x.seq >= f.seq ELSE x.seq > f.seq END""")
-def l5(s, d):
-    """Over the first 300 events, as its SQL says; l5_applicable_deletes_whole takes all."""
-    return applicable_deletes(table(s, d, "events").filter("event_id < 300"))
-
-
 def applicable_deletes(e):
     name = lambda p: F.concat(F.lit(p), F.col("event_id").cast("string")).alias("file_path")
     part, seq = F.col("user_id").alias("partition"), F.col("event_id").alias("sequence")
@@ -80,10 +63,10 @@ def applicable_deletes(e):
     return lakehouse.applicable_deletes(e.filter("event_type <> 'error'").select(name("d"), part, seq), e.filter("event_type = 'error'").select(name("x"), part, seq, kind))
 
 
-@query("l5_applicable_deletes_whole", """WITH f AS (SELECT 'd' || event_id AS file_path, user_id AS part, event_id AS seq FROM events WHERE event_type <> 'error'),
+@query("l5_applicable_deletes", """WITH f AS (SELECT 'd' || event_id AS file_path, user_id AS part, event_id AS seq FROM events WHERE event_type <> 'error'),
     x AS (SELECT 'x' || event_id AS delete_path, user_id AS part, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'position' ELSE 'equality' END AS kind FROM events WHERE event_type = 'error')
     SELECT file_path, delete_path, kind FROM f JOIN x USING (part) WHERE CASE WHEN kind = 'position' THEN x.seq >= f.seq ELSE x.seq > f.seq END""")
-def l5_whole(s, d):
+def l5(s, d):
     return applicable_deletes(table(s, d, "events"))
 
 
@@ -103,21 +86,14 @@ def a14(s, d):
     return lakehouse.summary(entries(s, d))
 
 
-@query("l10_snapshot_expiry", f"""SELECT snapshot_id FROM {_SNAPSHOTS} WHERE ts + INTERVAL 5 DAY < TIMESTAMP '2024-01-12' AND snapshot_id NOT IN (7, 11)
-    AND snapshot_id NOT IN (SELECT snapshot_id FROM {_SNAPSHOTS} ORDER BY ts DESC LIMIT 3)""")
-def l10(s, d):
-    """Over the first 400 snapshots, as its SQL says; l10_snapshot_expiry_whole takes all."""
-    return expired(s, snapshots(s, d).filter("snapshot_id < 400"))
-
-
 def expired(s, snaps):
     refs = s.createDataFrame([("main", 7), ("tag", 11)], "name string, snapshot_id long")
     return lakehouse.expired(snaps, refs, F.expr("TIMESTAMP_NTZ '2024-01-12'"), F.expr("INTERVAL 5 DAYS"), 3).select("snapshot_id")
 
 
-@query("l10_snapshot_expiry_whole", f"""SELECT snapshot_id FROM {_ALL_SNAPSHOTS} WHERE ts + INTERVAL 5 DAY < TIMESTAMP '2024-01-12' AND snapshot_id NOT IN (7, 11)
-    AND snapshot_id NOT IN (SELECT snapshot_id FROM {_ALL_SNAPSHOTS} ORDER BY ts DESC, snapshot_id DESC LIMIT 3)""")
-def l10_whole(s, d):
+@query("l10_snapshot_expiry", f"""SELECT snapshot_id FROM {_SNAPSHOTS} WHERE ts + INTERVAL 5 DAY < TIMESTAMP '2024-01-12' AND snapshot_id NOT IN (7, 11)
+    AND snapshot_id NOT IN (SELECT snapshot_id FROM {_SNAPSHOTS} ORDER BY ts DESC, snapshot_id DESC LIMIT 3)""")
+def l10(s, d):
     return expired(s, snapshots(s, d))
 
 

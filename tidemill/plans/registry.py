@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-_MODULES = ("stream_queries", "table_queries", "expression_queries", "lakehouse_queries", "markup_queries", "io_queries", "streaming_queries")
+_MODULES = ("stream_queries", "table_queries", "expression_queries", "lakehouse_queries", "markup_queries", "io_queries", "streaming_queries", "state_queries", "scan_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

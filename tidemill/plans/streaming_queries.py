@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemill.operators import stateless
 from tidemill.plans.registry import query, table
+from tidemill.sources import sinks
 from tidemill.streaming import jobs
 
 
@@ -18,9 +17,7 @@ def stream(s, d, lag="60 days"):
 
 
 def drained(s, df, mode="append"):
-    name = "drained_" + uuid.uuid4().hex
-    jobs.run_once(df, name, mode)
-    return s.table(name)
+    return jobs.drained(s, df, sinks.shared_path(s, "drained"), mode)
 
 
 @query("s1_stream_passthrough", "SELECT event_id, user_id, value FROM events")

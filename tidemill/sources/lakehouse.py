@@ -7,7 +7,11 @@ and walks along parents are joins too.
 from __future__ import annotations
 
 import re
+import struct
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,6 +135,119 @@ def orphans(listing: DataFrame, referenced: DataFrame) -> DataFrame:
     return listing.join(referenced.select("file_path"), "file_path", "left_anti")
 
 
+def scan(spark: SparkSession, entries: DataFrame, predicate, columns: list[str], positions: DataFrame | None = None, equals: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """Rows of a snapshot: live files that may match are read, deletes applied, the predicate and the projection last.
+
+    ``entries`` has file paths with bounds; ``positions`` (file_path, pos) and ``equals`` are deletes.
+    """
+    from tidemill.operators import joins
+
+    wanted = prune(live_files(entries), predicate)
+    paths = [r[0] for r in wanted.select("file_path").distinct().toLocalIterator()]  # what pruning left
+    if not paths:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+    rows = spark.read.parquet(*paths).withColumn("file_path", F.col("_metadata.file_path")).withColumn("pos", F.col("_metadata.row_index"))
+    if positions is not None:
+        rows = joins.without_positions(rows, positions)
+    if equals is not None:
+        rows = joins.without_equals(rows, *equals)
+    return rows.filter(predicates.to_column(predicate)).select(*columns)
+
+
+# Magic number and cookies of the public deletion-vector and Roaring bitmap formats.
+_DV_MAGIC, _NO_RUNS, _RUNS = 1681511377, 12346, 12347
+
+
+def encode_deletion_vector(positions) -> bytes:
+    """Positions as a deletion-vector blob: length, magic, a 64-bit Roaring bitmap by high halves, checksum."""
+    p = np.unique(np.asarray(positions, np.uint64))
+    high = (p >> np.uint64(32)).astype(np.uint32)
+    body = struct.pack("<iQ", _DV_MAGIC, len(np.unique(high)))
+    for h in np.unique(high).tolist():
+        low = p[high == h].astype(np.uint32)
+        keys, at = np.unique(low >> np.uint32(16), return_index=True)
+        parts = [x.astype(np.uint16) for x in np.split(low & np.uint32(0xFFFF), at[1:])]
+        data = []
+        for x in parts:
+            if len(x) <= 4096:
+                data.append(x.astype("<u2").tobytes())
+            else:
+                bits = np.zeros(65536, np.uint8)
+                bits[x] = 1
+                data.append(np.packbits(bits, bitorder="little").tobytes())
+        head = struct.pack("<III", h, _NO_RUNS, len(keys)) + b"".join(struct.pack("<HH", k, len(x) - 1) for k, x in zip(keys.tolist(), parts, strict=True))
+        begin = len(head) - 4 + 4 * len(keys)  # offsets count from the cookie
+        offsets = np.cumsum([begin, *(len(x) for x in data)])[:-1]
+        body += head + offsets.astype("<u4").tobytes() + b"".join(data)
+    return struct.pack(">i", len(body)) + body + struct.pack(">I", zlib.crc32(body))
+
+
+def decode_deletion_vector(blob: bytes) -> np.ndarray:
+    """The positions of a deletion-vector blob; array, bitmap and run containers."""
+    size = struct.unpack_from(">i", blob)[0]
+    body = blob[4 : 4 + size]
+    magic, n = struct.unpack_from("<iQ", body)
+    if magic != _DV_MAGIC or zlib.crc32(body) != struct.unpack_from(">I", blob, 4 + size)[0]:
+        raise ValueError("not a deletion vector, or a damaged one")
+    at, out = 12, []
+    for _ in range(n):
+        high, cookie = struct.unpack_from("<II", body, at)
+        at += 8
+        runs, count = b"", 0
+        if cookie & 0xFFFF == _RUNS:
+            count = (cookie >> 16) + 1
+            runs = body[at : at + (count + 7) // 8]
+            at += len(runs)
+        elif cookie == _NO_RUNS:
+            count = struct.unpack_from("<I", body, at)[0]
+            at += 4
+        else:
+            raise ValueError("not a Roaring bitmap")
+        heads = np.frombuffer(body, "<u2", 2 * count, at).reshape(-1, 2).astype(np.int64)
+        at += 4 * count
+        if not runs or count >= 4:
+            at += 4 * count  # offsets: containers follow in order anyway
+        for i, (key, last) in enumerate(heads.tolist()):
+            if runs and runs[i // 8] >> (i % 8) & 1:
+                k = struct.unpack_from("<H", body, at)[0]
+                pairs = np.frombuffer(body, "<u2", 2 * k, at + 2).reshape(-1, 2).astype(np.int64)
+                low = np.concatenate([np.arange(s, s + m + 1) for s, m in pairs.tolist()])
+                at += 2 + 4 * k
+            elif last + 1 <= 4096:
+                low = np.frombuffer(body, "<u2", last + 1, at).astype(np.int64)
+                at += 2 * (last + 1)
+            else:
+                low = np.flatnonzero(np.unpackbits(np.frombuffer(body, np.uint8, 8192, at), bitorder="little"))
+                at += 8192
+            out.append((high << 32) + (key << 16) + low)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def deleted_positions(vectors: DataFrame) -> DataFrame:
+    """(file_path, pos) of deletion vectors (file_path, blob): a position delete for each bit."""
+
+    def run(batches):
+        for b in batches:
+            for path, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                pos = decode_deletion_vector(blob)
+                for k in range(0, len(pos), 65536):
+                    part = pos[k : k + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(part)], names=["file_path", "pos"])
+
+    return vectors.select("file_path", "blob").mapInArrow(run, "file_path string, pos long")
+
+
+def read_hudi(spark: SparkSession, table: str, instant: str | None = None) -> DataFrame:
+    """The rows of a timeline folder's newest file slices, up to an instant: commits are JSON with their write statistics."""
+    text = spark.read.text(f"{table}/.hoodie/*", wholetext=True).withColumn("name", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    stats = F.from_json("value", "partitionToWriteStats map<string,array<struct<fileId:string,path:string>>>, partitionToReplaceFileIds map<string,array<string>>")
+    timeline = text.select(F.regexp_extract("name", r"^(\d+)\.(commit|deltacommit|replacecommit)$", 1).alias("instant"), F.regexp_extract("name", r"^(\d+)\.(commit|deltacommit|replacecommit)$", 2).alias("action"), stats.alias("s")).filter("instant <> ''")
+    rows = timeline.select("instant", "action", "s.partitionToReplaceFileIds", F.explode("s.partitionToWriteStats").alias("partition", "w")).select("instant", "action", "partition", F.element_at("partitionToReplaceFileIds", F.col("partition")).alias("replaced"), F.explode("w").alias("w"))
+    commits = rows.select("instant", "action", F.lit("completed").alias("state"), "partition", F.col("w.fileId").alias("file_id"), F.col("w.path").alias("path"), "replaced")
+    paths = [f"{table}/{r[0]}" for r in hudi_slices(commits, instant).select("path").toLocalIterator()]
+    return spark.read.parquet(*paths)
+
+
 # --- logs
 
 

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -116,9 +117,67 @@ def two_phase_sink(path: str, register: Callable[[int], bool]) -> Callable[[Data
     return write
 
 
-def run_once(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None):
-    """All that is there, in as many batches as the source makes, into a table in memory."""
-    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+def run_once(df: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None):
+    """All that is there, in as many batches as the source makes, into files under ``path``: a folder for each batch."""
+    w = df.writeStream.foreachBatch(two_phase_sink(path, lambda batch_id: True)).outputMode(mode).trigger(availableNow=True)
     q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
     q.awaitTermination()
     return q
+
+
+def drained(spark: SparkSession, df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """What ``run_once`` leaves: every batch's rows or, in mode complete, those of the last batch."""
+    schema = df.schema
+    run_once(df, path, mode)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option("basePath", path).parquet(f"{path}/batch=*")
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")  # one row
+    return rows.drop("batch")
+
+
+class TwoPhaseSink:
+    """Batches that are prepared, then committed or aborted, each by one move of a folder; recovery finishes what was begun.
+
+    A batch committed twice is there once; one that was never prepared cannot be committed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _there(self, name: str) -> bool:
+        files, path = self._fs(name)
+        return files.exists(path)
+
+    def prepare(self, batch_id: int, df: DataFrame) -> None:
+        if not self._there(f"committed/batch={batch_id}"):
+            df.write.mode("overwrite").parquet(f"{self.path}/pending/batch={batch_id}")
+
+    def commit(self, batch_id: int) -> None:
+        if self._there(f"committed/batch={batch_id}"):
+            return
+        if not self._there(f"pending/batch={batch_id}/_SUCCESS"):
+            raise ValueError(f"batch {batch_id} was not prepared")
+        files, target = self._fs(f"committed/batch={batch_id}")
+        files.mkdirs(target.getParent())
+        files.rename(self._fs(f"pending/batch={batch_id}")[1], target)
+
+    def abort(self, batch_id: int) -> None:
+        files, path = self._fs(f"pending/batch={batch_id}")
+        files.delete(path, True)
+
+    def recover(self, decided: Callable[[int], bool]) -> None:
+        """Finish pending batches: committed where the transaction was, aborted otherwise."""
+        files, path = self._fs("pending")
+        for f in files.listStatus(path) if files.exists(path) else ():
+            batch_id = int(f.getPath().getName().split("=")[1])
+            if decided(batch_id) and self._there(f"pending/batch={batch_id}/_SUCCESS"):
+                self.commit(batch_id)
+            else:
+                self.abort(batch_id)
+
+    def read(self, schema) -> DataFrame:
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/committed").parquet(f"{self.path}/committed/batch=*").drop("batch")
