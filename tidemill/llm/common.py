@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,14 +63,17 @@ class Scratch:
 
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Within, an action's shuffle files go as soon as it has ended: what it wrote is read from then on."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    """Within, an action's shuffle files go as soon as it has ended, as what it wrote is read from then on;
+    and Arrow batches are small, as whole texts may be long.  The session's settings come back afterwards."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 #: Bytes of text that a worker handles at once.
@@ -93,6 +97,14 @@ def text_parts(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = PAR
             to = min(at + rows, max(at + 1, int(np.searchsorted(size, done + most, side="right"))))
             yield b.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the machine: a worker lives on, and so would its peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

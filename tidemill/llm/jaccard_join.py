@@ -136,17 +136,17 @@ def _cells(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def _counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _counts(docs: DataFrame, k: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Documents by cell of the table, and by set size up to LIGHT_MOST; both of fixed size."""
     slices = 64
     width = CELLS // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, sizes = np.zeros(CELLS, np.int64), np.zeros(LIGHT_MOST + 1, np.int64)
+        cells, sizes = np.zeros(CELLS, np.int32), np.zeros(LIGHT_MOST + 1, np.int64)
         for b in text_parts(batches, 0):
             sets = word_sets(b.column(0), k)
             if sets:
-                cells += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS)
+                np.add.at(cells, _cells(np.concatenate(sets)), 1)
             for s in sets:
                 if len(s) <= LIGHT_MOST:
                     sizes[len(s)] += 1
@@ -165,7 +165,7 @@ def _counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
     schema = "slice int, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).repartition(slices, "slice").mapInArrow(add, schema)
+    summed = scratch.save(docs.select("text").mapInArrow(count, schema).repartition(slices, "slice").mapInArrow(add, schema), "counts")
     cells, sizes = np.zeros(CELLS, np.int32), np.zeros(LIGHT_MOST + 1, np.int64)
     for r in summed.toLocalIterator():  # CELLS numbers in all
         x = np.frombuffer(r["counts"], np.int64)
@@ -473,7 +473,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, li
     p = percent
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select("doc_id", "text")
-    cells, sizes = _counts(docs, k)
+    cells, sizes = _counts(docs, k, scratch)
     x = boundary(sizes, float(cells[cells > 0].mean()) if (cells > 0).any() else 0.0, p) if light_most is None else light_most
     log.info("light sets have at most %d shingles: %d of those up to %d", x, int(sizes[1 : x + 1].sum()), LIGHT_MOST)
     rows = scratch.save(_listed(docs, cells, x, k, p), "listed")
@@ -518,7 +518,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, li
     out = scratch.save(out.select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id")), "out")
     links = scratch.save(every.filter("linked").select("a", "b"), "links")
     kinds = scratch.save(classes.select("cls", "n", "least_id"), "kinds")
-    scratch.drop("members", "classes", "long-0", f"long-{turn}", "in-long", "sets", "named", *(f"judged-{i}" for i in range(turn)), f"more-{turn}", *scratch.left("labels-"))
+    scratch.drop("counts", "members", "classes", "long-0", f"long-{turn}", "in-long", "sets", "named", *(f"judged-{i}" for i in range(turn)), f"more-{turn}", *scratch.left("labels-"))
     return out, kinds, links
 
 

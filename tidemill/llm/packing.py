@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import Scratch, as_bytes, text_parts, word_spans
 
 #: Words whose ids a worker remembers (some 40 bytes each); beyond that it starts anew.
-CACHED_WORDS = 3_000_000
+CACHED_WORDS = 1_000_000
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 _IS_WORD = np.ones(256, bool)
