@@ -65,7 +65,7 @@ class Scratch:
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Within, an action's shuffle files go as soon as it has ended, as what it wrote is read from then on;
     and Arrow batches are small, as whole texts may be long.  The session's settings come back afterwards."""
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * PART_BYTES)}
     before = {k: spark.conf.get(k) for k in wanted}
     try:
         for k, v in wanted.items():
