@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ log = logging.getLogger(__name__)
 CELLS = 1 << 22
 #: Largest set that may count as light.
 LIGHT_MOST = 64
-#: Bits of a set's parity bitmap.
+#: Bits of each of a set's two parity bitmaps.
 BITS = 2048
 #: Classes that a task remembers to have listed.
 SEEN = 500_000
@@ -66,6 +67,10 @@ FEW = 50_000
 #: Lists up to so many sets give their pairs at once.
 SHORT = 12
 BLOCK = 2048
+#: 64-bit words of bitmaps compared at once (8 MB).
+FOREST_WORDS = 1 << 20
+#: Most pairs of one set, in one list and round, that are verified beside the forest.
+MORE = 64
 #: Bits of the filter of classes whose full sets are wanted.
 WANTED_BITS = 1 << 25
 
@@ -127,9 +132,16 @@ def class_of(s: np.ndarray) -> bytes:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each bit: differing bits never outnumber differing shingles."""
-    at = (mix(s ^ _C) & np.uint64(BITS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Parities of the shingles that fall on each bit, by two hashes: in neither do differing bits outnumber differing shingles."""
+    h = mix(s ^ _C)
+    return b"".join(np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes() for at in (h & np.uint64(BITS - 1), h >> np.uint64(65 - BITS.bit_length())))
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The greater of the two bounds from below on how many shingles differ."""
+    count = np.bitwise_count(x ^ y)
+    half = BITS // 64
+    return np.maximum(count[..., :half].sum(axis=-1, dtype=np.int64), count[..., half:].sum(axis=-1, dtype=np.int64))
 
 
 def _cells(s: np.ndarray) -> np.ndarray:
@@ -279,7 +291,7 @@ def _scan(entries: DataFrame, p: int, partitions: int) -> DataFrame:
 
 def _words(column: pa.Array) -> np.ndarray:
     _, raw = as_bytes(column)
-    return raw.reshape(-1, BITS // 8).view(np.uint64)
+    return raw.reshape(-1, 2 * BITS // 8).view(np.uint64)
 
 
 def _may_link(pairs: DataFrame, classes: DataFrame, p: int) -> DataFrame:
@@ -291,44 +303,50 @@ def _may_link(pairs: DataFrame, classes: DataFrame, p: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 na, nb = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
-                differ = np.bitwise_count(_words(b.column(4)) ^ _words(b.column(5))).sum(axis=1, dtype=np.int64)
+                differ = _differ(_words(b.column(4)), _words(b.column(5)))
                 keep = differ <= na + nb - 2 * need(na, nb, p)
                 yield b.filter(pa.array(keep)).select([0, 1])
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def forest(n: np.ndarray, bits: np.ndarray, group: np.ndarray, refuted: set[tuple[int, int]], p: int, split: int | None = None, more: int = 0) -> list[tuple[int, int]]:
+def forest(n: np.ndarray, bits: np.ndarray, group: np.ndarray, refuted: tuple[np.ndarray, np.ndarray], p: int, split: int | None = None, more: int = 0) -> list[tuple[int, int]]:
     """Least spanning forest, between groups, of the pairs that may link (Boruvka on the bounds).
 
-    ``refuted`` holds pairs (i, j), i < j, that do not link; ``split`` restricts to
+    ``refuted`` holds places i and j of pairs that do not link; ``split`` restricts to
     pairs of one below it and one from it on.  With ``more``, so many of each set's
-    nearest pairs across groups come besides, to settle stubborn ones sooner.
+    nearest pairs across groups come besides, to settle stubborn ones sooner.  Past the
+    matrix of bounds (four bytes a pair) rows are taken a few at a time.
     """
     size = len(n)
     n = n.astype(np.int64)
+    group = np.unique(group, return_inverse=True)[1]
     spare = np.full((size, size), np.inf, np.float32)
-    for s in range(0, size, 128):
-        differ = np.bitwise_count(bits[s : s + 128, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
-        total = n[s : s + 128, None] + n[None, :]
+    step = max(1, FOREST_WORDS // max(1, bits.size))
+    parts = [slice(s, min(s + step, size)) for s in range(0, size, step)]
+    for rows in parts:
+        differ = _differ(bits[rows, None, :], bits[None, :, :])
+        total = n[rows, None] + n[None, :]
         least = need(total, 0, p)
-        open_ = (differ <= total - 2 * least) & (least <= np.minimum(n[s : s + 128, None], n[None, :]))
-        spare[s : s + 128][open_] = (differ / np.maximum(total - 2 * least, 1))[open_]
-    for i, j in refuted:
-        spare[i, j] = spare[j, i] = np.inf
+        open_ = (differ <= total - 2 * least) & (least <= np.minimum(n[rows, None], n[None, :])) & (group[rows, None] != group[None, :])
+        spare[rows][open_] = (differ / np.maximum(total - 2 * least, 1))[open_]
+    spare[refuted] = spare[refuted[::-1]] = np.inf
     if split is not None:
         spare[:split, :split] = spare[split:, split:] = np.inf
-    group = np.unique(group, return_inverse=True)[1]
     edges: list[tuple[int, int]] = []
-    if more:
-        spare[group[:, None] == group[None, :]] = np.inf
-        near = np.argpartition(spare, min(more, size - 1), axis=1)[:, :more]
-        i, k = np.nonzero(np.isfinite(np.take_along_axis(spare, near, 1)))
-        edges += [(min(a, b), max(a, b)) for a, b in zip(i.tolist(), near[i, k].tolist(), strict=True)]
+    to, cost = np.zeros(size, np.int64), np.zeros(size, np.float32)
+    first = True
     while True:
-        spare[group[:, None] == group[None, :]] = np.inf
-        to = spare.argmin(axis=1)
-        cost = spare[np.arange(size), to]
+        for rows in parts:
+            part = spare[rows]
+            part[group[rows, None] == group[None, :]] = np.inf
+            to[rows] = part.argmin(axis=1)
+            cost[rows] = np.take_along_axis(part, to[rows, None], 1)[:, 0]
+            if first and more:
+                near = np.argpartition(part, min(more, size - 1), axis=1)[:, :more]
+                i, k = np.nonzero(np.isfinite(np.take_along_axis(part, near, 1)))
+                edges += [(min(a, b), max(a, b)) for a, b in zip((i + rows.start).tolist(), near[i, k].tolist(), strict=True)]
+        first = False
         live = np.flatnonzero(np.isfinite(cost))
         if not len(live):
             return edges
@@ -354,6 +372,15 @@ def forest(n: np.ndarray, bits: np.ndarray, group: np.ndarray, refuted: set[tupl
         group = np.array([root(g) for g in range(len(parent))])[group]
 
 
+def _refuted_places(cls: pa.Array, no: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places i and j of those refuted pairs that lie in one list, without an object for each pair."""
+    if isinstance(no, pa.ChunkedArray):
+        no = no.combine_chunks()
+    j = pc.index_in(no.flatten(), cls).fill_null(-1).to_numpy(zero_copy_only=False)
+    i = np.repeat(np.arange(len(no)), pc.fill_null(pc.list_value_length(no), 0).to_numpy(zero_copy_only=False))
+    return i[j >= 0], j[j >= 0]
+
+
 def _forest_edges(long: DataFrame, classes: DataFrame, labels: DataFrame, refuted: DataFrame, p: int, partitions: int, extra: int) -> DataFrame:
     """Pairs (a, b) of the long lists that are to be verified next."""
     known = classes.select(F.col("cls").alias("a"), "n", "bits").join(labels, F.col("a") == F.col("node"), "left").join(refuted, "a", "left")
@@ -378,8 +405,7 @@ def _forest_edges(long: DataFrame, classes: DataFrame, labels: DataFrame, refute
                 if len(names) < 2:
                     continue
                 cls = part.column(5).to_pylist()
-                where = {c: i for i, c in enumerate(cls)}
-                no = {(min(i, where[c]), max(i, where[c])) for i, cs in enumerate(part.column(9).to_pylist()) for c in cs or () if c in where}
+                no = _refuted_places(part.column(5).combine_chunks(), part.column(9))
                 split = int((own[s:e] == low[s]).sum()) if low[s] != high[s] else None
                 for i, j in forest(part.column(6).to_numpy(), _words(part.column(7).combine_chunks()), np.array([names[r] for r in roots]), no, p, split, extra):
                     out.add((min(cls[i], cls[j]), max(cls[i], cls[j])))
@@ -500,7 +526,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, li
         scratch.drop(f"long-{turn - 1}")
         no = every.filter("NOT linked")
         refuted = no.select("a", "b").unionAll(no.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_list("b").alias("no"))
-        extra = 0 if turn == 1 else 8
+        extra = 0 if turn == 1 else min(4 << (turn - 1), MORE)  # rounds grow, so that stubborn lists need few of them
         more = scratch.save(_forest_edges(long, in_long, labels, refuted, p, partitions, extra), f"more-{turn}")
         n_more = more.count()
         if not n_more:
