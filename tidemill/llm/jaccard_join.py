@@ -67,6 +67,8 @@ FEW = 50_000
 #: Lists up to so many sets give their pairs at once.
 SHORT = 12
 BLOCK = 2048
+#: Places of a list that meet the verdict on it in one task.
+SLICE = 256
 #: 64-bit words of bitmaps compared at once (8 MB).
 FOREST_WORDS = 1 << 20
 #: Most pairs of one set, in one list and round, that are verified beside the forest.
@@ -550,8 +552,11 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, li
 
 def _unsettled(long: DataFrame, labels: DataFrame) -> DataFrame:
     """The long lists whose sets are not all of one component yet."""
-    roots = long.join(labels, F.col("a") == F.col("node"), "left").groupBy("key").agg(F.min(F.coalesce("root", "a")).alias("low"), F.max(F.coalesce("root", "a")).alias("high"))
-    return long.join(roots.filter("low <> high").select("key"), "key", "left_semi").select("key", "a", "place", "size")
+    roots = long.join(labels, F.col("a") == F.col("node"), "left")
+    roots = roots.groupBy("key").agg(F.min(F.coalesce("root", "a")).alias("low"), F.max(F.coalesce("root", "a")).alias("high"), F.max("size").alias("most"))
+    slices = roots.filter("low <> high").select("key", F.explode(F.sequence(F.lit(0), F.floor((F.col("most") - 1) / SLICE))).alias("slice"))
+    dealt = long.withColumn("slice", F.floor(F.col("place") / SLICE))  # a long list meets its verdict in many tasks
+    return dealt.join(slices, ["key", "slice"], "left_semi").select("key", "a", "place", "size")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
