@@ -59,6 +59,61 @@ def test_ids_are_the_tokenizers():
             assert ids[at[k] : at[k + 1]].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
+class Asked:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def check_ids(e, texts):
+    ids, at = e.encode(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == [*TOKENIZER.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_new_words_share_a_text():
+    e = P.Encoder(PATH, 1)
+    e.tokenizer = asked = Asked(e.tokenizer)
+    check_ids(e, [f"Wort{i}, don't{i}" for i in range(1000)])
+    assert len(asked.texts) <= 10  # 2000 words
+
+
+def test_words_with_the_mark_or_without_ids():
+    mark = P.Encoder(PATH, 1).mark
+    rare = ["\x85", "\u3000", mark, f"a{mark}b", mark * 3, "\u0301x", "a\u0301", "<|endoftext|>", f"<|endoftext|>{mark}", "x" * 5000]
+    for many in (0, 3, P.JOINED_WORDS, 2 * P.JOINED_WORDS + 1):
+        plain = [f"w{i}!" for i in range(many)]
+        for texts in ([" ".join(rare + plain)], [" ".join(plain + rare)], [*rare, *plain], [f"{x} {mark} {x}z" for x in rare] + plain):
+            check_ids(P.Encoder(PATH, 1), texts)
+    e = P.Encoder(PATH, 1)
+    e.mark = ""  # a tokenizer without any: words one by one
+    check_ids(e, ["a b", *rare])
+
+
+def test_words_met_again_are_not_forgotten(monkeypatch):
+    monkeypatch.setattr(P, "CACHED_WORDS", 50)
+    e = P.Encoder(PATH, 1)
+    e.tokenizer = asked = Asked(e.tokenizer)
+    common = " ".join(f"common{i}" for i in range(10))
+    for k in range(40):  # 400 rare words, so that room is made many times
+        check_ids(e, [common + "".join(f" rare{k}x{i}" for i in range(10))])
+        assert len(e.keys) <= 50
+    assert sum("common3" in x.split() for x in asked.texts) == 1
+    check_ids(e, [" ".join(f"many{i}" for i in range(80))])  # more than there is room for
+    check_ids(e, [common])
+    rng = random.Random(2)
+    for _ in range(60):
+        check_ids(e, [" ".join(f"v{int(rng.paretovariate(0.7)) % 300}!" for _ in range(25)) for _ in range(3)])
+
+
 def test_operator(spark, make_docs):
     t = Tokenizer.from_file(PATH)
     docs = make_docs(list(enumerate(ODD)) + [(None, "no id"), (3, "a")], extra="task")

@@ -37,8 +37,11 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import Scratch, as_bytes, text_parts, word_spans
 
-#: Words whose ids a worker remembers (some 40 bytes each); beyond that it starts anew.
+#: Words whose ids a worker remembers (some 40 bytes each); beyond that only those it met again since the last time are kept.
 CACHED_WORDS = 1_000_000
+#: New words that go to the tokenizer as one text, and what may stand between them.
+JOINED_WORDS = 200
+MARKS = "\x01\x02\x1f~"
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 _IS_WORD = np.ones(256, bool)
@@ -51,7 +54,9 @@ class Encoder:
 
     Such a tokenizer never joins across a space or line end, so a text's ids are
     those of its words in turn; one that does not is refused.  The ids of words are remembered in flat arrays
-    under 64-bit hashes; only words not met before reach the tokenizer.
+    under 64-bit hashes; only words not remembered reach the tokenizer, many in one text with a mark after each:
+    most of the time of a short text is not spent on its words.  A text with another number of marks than words
+    has a word that holds the mark; its words are encoded one by one.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -63,21 +68,58 @@ class Encoder:
         own = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe]
         if not own[0] == own[1] + own[2] == own[3] == own[4]:
             raise ValueError("the tokenizer joins words across white space")
+        self.mark, self.mark_id = "", 0
+        for mark in MARKS:
+            alone, between = self._ids([mark, f"a {mark} b"])
+            if len(alone) == 1 and between == own[1] + alone + own[2]:
+                self.mark, self.mark_id = mark, alone[0]
+                break
         self._forget()
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)  # met again since it was learned, or since others were forgotten
         self.store, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def _make_room(self, coming: int) -> None:
+        """Forget words not met again, or all where that does not make room enough."""
+        kept = self.again
+        if int(kept.sum()) + coming > CACHED_WORDS:
+            self._forget()
+            return
+        n, at = self.n[kept], self.at[kept]
+        begin = np.cumsum(n, dtype=np.int64) - n
+        store = self.store[np.arange(int(n.sum())) + np.repeat(at - begin, n)]
+        self.keys, self.at, self.n, self.again = self.keys[kept], begin, n, np.zeros(len(n), bool)
+        self.store, self.used = np.concatenate([store, np.zeros(1 << 16, np.uint32)]), len(store)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in one array, and how many each has."""
+        flat, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+        for i in range(0, len(words), 100 * JOINED_WORDS):
+            some = words[i : i + 100 * JOINED_WORDS]
+            groups = [some[k : k + JOINED_WORDS] for k in range(0, len(some), JOINED_WORDS)]
+            joined = self._ids([f" {self.mark} ".join([*g, ""]) for g in groups]) if self.mark else [[]] * len(groups)
+            for g, own in zip(groups, joined, strict=True):
+                ids = np.array(own, np.uint32)
+                ends = np.flatnonzero(ids == self.mark_id)
+                if len(ends) == len(g):
+                    flat.append(np.delete(ids, ends))
+                    n.append(np.diff(ends, prepend=-1).astype(np.int32) - 1)
+                else:  # a word holds the mark, or there is none
+                    each = self._ids(g)
+                    flat += [np.array(x, np.uint32) for x in each]
+                    n.append(np.fromiter(map(len, each), np.int32, len(each)))
+        return np.concatenate(flat), np.concatenate(n)
+
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Add words (hashes sorted, none known)."""
-        ids = []
-        for i in range(0, len(words), 20_000):
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for e in ids for x in e), np.uint32, int(n.sum()))
+        flat, n = self._encode_words(words)
         while self.used + len(flat) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint32)])
         self.store[self.used : self.used + len(flat)] = flat
@@ -85,6 +127,7 @@ class Encoder:
         self.at = np.insert(self.at, place, self.used + np.cumsum(n) - n)
         self.n = np.insert(self.n, place, n)
         self.keys = np.insert(self.keys, place, hashes)
+        self.again = np.insert(self.again, place, False)
         self.used += len(flat)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +136,12 @@ class Encoder:
         hashes, begin, end, first = word_spans(offsets, raw, _IS_WORD, _PLAIN)
         known, example, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(known) > CACHED_WORDS:
-            self._forget()
+            self._make_room(len(known))
         place = np.searchsorted(self.keys, known)
         new = np.ones(len(known), bool)
         inside = place < len(self.keys)
         new[inside] = self.keys[place[inside]] != known[inside]
+        self.again[place[~new]] = True
         if new.any():
             data = raw.tobytes()
             self._learn(known[new], [data[begin[i] : end[i]].decode() for i in example[new].tolist()])
